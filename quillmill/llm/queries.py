@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, fertility, langid, simhash, toxicity
+from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity
 from quillmill.llm.common import table
 
 
@@ -32,6 +32,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment(table(spark, sf_dir, "documents"))
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return edit_counts.edit_counts(docs, edit_counts.planned_edits(F.col("text")))
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id AS id, 'd' AS side, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
@@ -57,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fertility": op5_fertility,
         "op6_langid": op6_langid,
         "op7_simhash": op7_simhash,
+        "op8_segmentation": op8_segmentation,
+        "op9_edit_counts": op9_edit_counts,
     }
 
 
