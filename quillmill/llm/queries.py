@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity
+from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity, urlfilter
 from quillmill.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urlfilter.filter_captures(urlfilter.planned_captures(pages), urlfilter.planned_events(pages))
+    return found.withColumn("fetched", F.unix_seconds("fetched"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +47,38 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(docs, edit_counts.planned_edits(F.col("text")))
 
 
+OP1_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, to_timestamp(1704067200 + 60 * (('0x' || substr(md5(page_id::VARCHAR), 1, 6))::BIGINT % 527040)) AS fetched,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda p: p <> '') AS parts
+  FROM pages
+), h AS (
+  SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM c WHERE host IS NOT NULL
+), x AS (
+  SELECT host, domain, ('0x' || substr(md5(host), 1, 3))::BIGINT % 200 AS a, ('0x' || substr(md5(host), 4, 3))::BIGINT % 120 + 1 AS n,
+    ('0x' || substr(md5(host), 7, 3))::BIGINT % 3 AS b, ('0x' || substr(md5(host), 10, 3))::BIGINT % 4 AS p,
+    ('0x' || substr(md5(domain), 13, 3))::BIGINT % 2 AS t, ('0x' || substr(md5(domain), 1, 3))::BIGINT % 200 AS s
+  FROM h
+), v AS (
+  SELECT 'adult' AS l, 'block' AS v, 'd:' || host AS k, a AS d1, a + n AS d2 FROM x WHERE b = 0
+  UNION ALL SELECT 'adult', 'block', 'd:' || host, a + n + 60, NULL FROM x WHERE b = 0
+  UNION ALL SELECT 'spam', 'block', 'p:' || host || '/en', a + 30, NULL FROM x WHERE p = 0
+  UNION ALL SELECT DISTINCT 'trusted', 'allow', 'd:' || domain, s, NULL FROM x WHERE t = 0
+), k AS (
+  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[-i:], '.') AS k, i AS rank
+  FROM (SELECT page_id, fetched, host, unnest(range(1, least(len(string_split(host, '.')), 6) + 1)) AS i FROM c WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(parts[1:i], '/'), i + 100
+  FROM (SELECT page_id, fetched, host, parts, unnest(range(1, least(len(parts), 3) + 1)) AS i FROM c WHERE host IS NOT NULL)
+), hit AS (
+  SELECT page_id, v.l, v.v, v.k, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, v.v, v.l, v.k) AS rn, count(*) OVER (PARTITION BY page_id) AS n
+  FROM k JOIN v ON k.k = v.k AND fetched >= to_timestamp(1704067200 + 86400 * d1) AND (d2 IS NULL OR fetched < to_timestamp(1704067200 + 86400 * d2))
+)
+SELECT c.page_id, c.url, epoch(c.fetched)::BIGINT AS fetched, coalesce(hit.v, 'pass') AS decision, hit.l AS list_name, hit.k AS matched_key, coalesce(n, 0) AS n_matches
+FROM c LEFT JOIN hit ON c.page_id = hit.page_id AND rn = 1
+"""
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id AS id, 'd' AS side, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
@@ -61,6 +99,7 @@ FROM pairs JOIN sizes ON id = item_id WHERE shared >= 0.8 * n
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urlfilter": op1_urlfilter,
         "op2_toxicity": op2_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_fertility": op5_fertility,
@@ -72,4 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {
+        "op1_urlfilter": OP1_SQL,
+        "op4_decontaminate": OP4_SQL,
+    }
