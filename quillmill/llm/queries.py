@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity, urlfilter
+from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity, urlfilter, warc
 from quillmill.llm.common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.planned_responses(table(spark, sf_dir, "pages")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urlfilter": op1_urlfilter,
         "op2_toxicity": op2_toxicity,
+        "op3_warc": op3_warc,
         "op4_decontaminate": op4_decontaminate,
         "op5_fertility": op5_fertility,
         "op6_langid": op6_langid,
@@ -113,5 +118,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_urlfilter": OP1_SQL,
+        "op3_warc": warc.sql(),
         "op4_decontaminate": OP4_SQL,
     }
