@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, simhash, toxicity, urlfilter, warc
+from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, shards, simhash, toxicity, urlfilter, warc
 from quillmill.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(docs, edit_counts.planned_edits(F.col("text")))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = shards.ingest(table(spark, sf_dir, "documents")).read_with_shards()
+    return stored.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("__shard").alias("shard"), F.col("__version").alias("version"))
+
+
 OP1_SQL = r"""
 WITH c AS (
   SELECT page_id, url, to_timestamp(1704067200 + 60 * (('0x' || substr(md5(page_id::VARCHAR), 1, 6))::BIGINT % 527040)) AS fetched,
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_segmentation": op8_segmentation,
         "op9_edit_counts": op9_edit_counts,
+        "op10_sharding": op10_sharding,
     }
 
 
