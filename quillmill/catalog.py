@@ -1,15 +1,405 @@
-"""Named queries over the shared test tables, with their SQL counterparts."""
+"""Named queries over the shared test tables, with their SQL counterparts.
+
+Where a query builds an engine's raw JSON and parses it back, its SQL never sees JSON; where it cuts
+windows, the SQL enumerates them; where it folds words, the SQL divides ordinals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.functions import text as T
+from quillmill.operators.chunks import chunk_blocks, chunk_documents, chunk_texts
+from quillmill.operators.segments import passages
+from quillmill.plans import normalise, routing
+from quillmill.schema import WORD
+from quillmill.sources import sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# chunks
+
+_CHUNK = ["doc_id", "block_id", "chunk_id", "char_start", "char_end", "text"]
+
+
+def _chunked(size: int, overlap: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        return chunk_texts(docs, size, overlap).select(*_CHUNK)
+
+    return run
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _chunked_sql(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""
+WITH t AS (SELECT doc_id, trim(text, {_BLANKS}) AS body FROM documents),
+k AS (SELECT doc_id, body, unnest(range(0, length(body), {step})) AS a FROM t)
+SELECT doc_id, 0::BIGINT AS block_id, a // {step} AS chunk_id, a AS char_start, least(a + {size}, length(body)) AS char_end,
+  substr(body, a + 1, {size}) AS text
+FROM k WHERE a = 0 OR a + {overlap} < length(body)
+"""
+
+
+def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as arrays of blocks: a line is a block, one with a spaced bar is a table, every third is blanked."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    block = lambda line, i: F.struct(
+        F.when(F.contains(line, F.lit(" | ")), "table").otherwise("text").alias("kind"),
+        F.when(i % 3 == 2, F.lit(" 　\t")).otherwise(F.concat(F.lit("  "), line)).alias("text"),
+    )
+    return docs.select("doc_id", F.transform(F.split("text", "\n"), block).alias("blocks"))
+
+
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_documents(_line_blocks(spark, sf_dir), 200, 50).select(*_CHUNK, "kind")
+
+
+def chunk_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _line_blocks(spark, sf_dir).select("doc_id", F.posexplode("blocks").alias("block_id", "b"))
+    flat = flat.select("doc_id", F.col("block_id").cast("bigint").alias("block_id"), "b.kind", "b.text")
+    return chunk_blocks(flat, 200, 50).select(*_CHUNK, "kind")
+
+
+_LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_id FROM documents
+), b AS (
+  SELECT doc_id, block_id, CASE WHEN contains(line, ' | ') THEN 'table' ELSE 'text' END AS kind,
+    CASE WHEN block_id % 3 = 2 THEN '' ELSE trim(line, ' ' || chr(9) || chr(13)) END AS body FROM l
+), k AS (
+  SELECT *, unnest(CASE WHEN kind = 'table' THEN [0] ELSE range(0, length(body), 150) END) AS a FROM b WHERE body <> ''
+), c AS (SELECT *, CASE WHEN kind = 'table' THEN length(body) ELSE 200 END AS size FROM k WHERE a = 0 OR a + 50 < length(body))
+SELECT doc_id, block_id::BIGINT AS block_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_id, a) - 1 AS chunk_id,
+  a::BIGINT AS char_start, least(a + size, length(body))::BIGINT AS char_end, substr(body, a + 1, size) AS text, kind
+FROM c
+"""
+
+
+def atomic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = chunk_documents(_line_blocks(spark, sf_dir), 200, 50)
+    return blocks.groupBy("kind").agg(F.count("*").alias("n_chunks"), F.max(F.col("char_end") - F.col("char_start")).alias("longest"), F.sum(F.length("text")).alias("n_chars"))
+
+
+_ATOMIC_SQL = f"SELECT kind, count(*) AS n_chunks, max(char_end - char_start) AS longest, sum(length(text))::BIGINT AS n_chars FROM ({_LINES_SQL}) GROUP BY kind"
+
+
+def blank_block_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each document, and those that gave no chunk."""
+    docs = _line_blocks(spark, sf_dir)
+    numbered = chunk_documents(docs, 200, 50).groupBy("doc_id").agg(F.count_distinct("block_id").alias("with_chunks"), (F.max("block_id") + 1).alias("seen"))
+    return docs.select("doc_id", F.size("blocks").cast("bigint").alias("n_blocks")).join(numbered, "doc_id", "left").select("doc_id", "n_blocks", F.coalesce("with_chunks", F.lit(0)).cast("bigint").alias("with_chunks"), F.coalesce("seen", F.lit(0)).cast("bigint").alias("seen"))
+
+
+_GAP_SQL = f"""
+WITH c AS (SELECT doc_id, count(DISTINCT block_id) AS with_chunks, max(block_id) + 1 AS seen FROM ({_LINES_SQL}) GROUP BY doc_id)
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_blocks, coalesce(with_chunks, 0) AS with_chunks, coalesce(seen, 0) AS seen FROM documents LEFT JOIN c USING (doc_id)
+"""
+
+
+def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripping of texts put between white space of several kinds."""
+    docs = _table(spark, sf_dir, "documents")
+    pads = F.array(*[F.lit(x) for x in (" ", "　\n", "\x1c\x85", " \t", " ", "​")])
+    pad = F.get(pads, (F.col("doc_id") % 6).cast("int"))
+    padded = F.concat(pad, "text", pad, pad)
+    return docs.select("doc_id", F.length(padded).cast("bigint").alias("n_before"), F.length(T.strip(padded)).cast("bigint").alias("n_after"), F.md5(T.strip(padded)).alias("digest"))
+
+
+_STRIP_SQL = """
+WITH p AS (
+  SELECT doc_id, text, [' ', chr(12288) || chr(10), chr(28) || chr(133), chr(8195) || chr(9), chr(160), chr(8203)][doc_id % 6 + 1] AS pad FROM documents
+)
+SELECT doc_id, length(text) + 3 * length(pad) AS n_before, length(text) + CASE WHEN doc_id % 6 = 5 THEN 3 ELSE 0 END AS n_after,
+  md5(CASE WHEN doc_id % 6 = 5 THEN pad || text || pad || pad ELSE text END) AS digest
+FROM p
+"""
+
+# routing
+
+_NAMES = [".pdf", ".PDF", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".docx", ".pptx", ".xlsx", ".csv", ".tsv", ".html", ".htm", ".eml", ".msg", ".wav", ".mp3", ".flac", ".m4a", ".ogg", ".tar.gz", ".doc", ".", ""]
+
+
+def _file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths made from documents' ids; an id divisible by 41 has a name that is only a suffix."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    suffix = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    name = F.concat(F.when(F.col("doc_id") % 41 == 0, "").otherwise(F.concat(F.lit("Report."), F.col("doc_id").cast("string"))), suffix)
+    return docs.select("doc_id", F.concat(F.lit("/data/in.d/"), name).alias("path"))
+
+
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = routing.file_name(F.col("path"))
+    return _file_names(spark, sf_dir).select("doc_id", "path", routing.suffix(name).alias("suffix"), routing.choose_engine(name).alias("engine"), routing.choose_engine(name, "mineru").alias("forced"), T.stem(name).alias("stem"))
+
+
+def route_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.rejects(_file_names(spark, sf_dir)).select("doc_id", "path", "reason")
+
+
+_ROUTES_SQL = f"""
+WITH n AS (
+  SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN '' ELSE 'Report.' || doc_id END || [{", ".join(f"'{s}'" for s in _NAMES)}][doc_id % {len(_NAMES)} + 1] AS name FROM documents
+), s AS (
+  SELECT doc_id, '/data/in.d/' || name AS path, name, lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) AS suffix FROM n
+), r AS (
+  SELECT *, CASE WHEN suffix = '.pdf' THEN 'mineru' WHEN suffix IN ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') THEN 'paddleocr'
+    WHEN suffix IN ('.docx', '.pptx', '.xlsx', '.csv', '.tsv', '.html', '.htm', '.eml', '.msg') THEN 'docling'
+    WHEN suffix IN ('.wav', '.mp3', '.flac', '.m4a', '.ogg') THEN 'qwen-asr' END AS engine FROM s
+)"""
+_FILES_SQL = f"{_ROUTES_SQL} SELECT doc_id, path, suffix, engine, 'mineru' AS forced, CASE WHEN suffix = '' THEN name ELSE name[: length(name) - length(suffix)] END AS stem FROM r"
+_REJECTS_SQL = f"{_ROUTES_SQL} SELECT doc_id, path, 'unsupported engine or suffix: ' || CASE WHEN suffix = '' THEN 'none' ELSE suffix END AS reason FROM r WHERE engine IS NULL"
+
+# normalisation; in these results -1 stands for a page or number that is null in the block
+
+
+
+def _raw(df: DataFrame, engine: str, raw: Column, identity: str) -> DataFrame:
+    return df.select(F.col(identity).cast("string").alias("doc_id"), F.lit("made").alias("source"), F.lit(engine).alias("engine"), raw.alias("raw"), F.lit("md").alias("markdown"))
+
+
+def _flat(raw: DataFrame, *fields: str) -> DataFrame:
+    each = normalise.normalise(raw).select("doc_id", F.posexplode("blocks").alias("block_id", "b"))
+    return each.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("block_id").cast("bigint").alias("block_id"), *[F.col(f"b.{f}").alias(f) for f in fields])
+
+
+def normalise_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a PDF: a turn is a page, of which every fourth has no number; its role is the block's type, absent for the system's."""
+    turns = _table(spark, sf_dir, "conversations")
+    block = F.when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.to_json(F.struct(F.col("role").alias("type"), F.array("text", F.lit(None).cast("string"), F.lit("end")).alias("content")), {"ignoreNullFields": "false"}))
+    page = F.concat(F.lit('{"blocks":['), block, F.lit("]"), F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit(',"page_idx":'), F.col("turn").cast("string"))), F.lit("}"))
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", page.alias("page")))).alias("p"))
+    raw = F.concat(F.lit('{"pages":['), F.array_join(F.transform("p", lambda x: x["page"]), ","), F.lit("]}"))
+    return _flat(_raw(pages, "mineru", raw, "conv_id"), "kind", "text", "page").withColumn("page", F.coalesce("page", F.lit(-1).cast("bigint")))
+
+
+_PDF_SQL = """
+SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block_id, CASE role WHEN 'system' THEN 'unknown' ELSE role END AS kind,
+  CASE role WHEN 'system' THEN text ELSE text || chr(10) || chr(10) || 'end' END AS text, CASE WHEN turn % 4 = 3 THEN -1 ELSE turn + 1 END AS page
+FROM conversations
+"""
+
+
+def normalise_image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document as two page images, wrapped for even ids; the second page's block has no label, content or box."""
+    docs = _table(spark, sf_dir, "documents")
+    page = F.to_json(F.struct(F.array(F.struct(F.lit("table").alias("block_label"), F.col("text").alias("block_content"), F.array(F.lit(0), F.lit(1), F.col("n_chars"), F.lit(9)).alias("block_bbox"))).alias("parsing_res_list")))
+    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"res":'), page, F.lit("}"))).otherwise(page)
+    raw = F.concat(F.lit("["), wrapped, F.lit(',{"parsing_res_list":[{"order":1}]}]'))
+    found = _flat(_raw(docs, "paddleocr", raw, "doc_id"), "kind", "text", "page", "bbox", "raw")
+    box = F.from_json("bbox", "array<double>")
+    return found.select("doc_id", "block_id", "kind", "text", "page", F.coalesce(F.get(box, F.lit(2)).cast("bigint"), F.lit(-1).cast("bigint")).alias("right"), F.when(F.col("page") == 2, F.col("raw")).alias("raw"))
+
+
+_IMAGE_SQL = """
+SELECT doc_id, 0::BIGINT AS block_id, 'table' AS kind, text, 1::BIGINT AS page, n_chars AS "right", NULL::VARCHAR AS raw FROM documents
+UNION ALL SELECT doc_id, 1, 'unknown', '', 2, -1, '{"order": 1}' FROM documents
+"""
+
+
+def normalise_office_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document as office items: its text, a table, pictures with and without a caption, and an empty item."""
+    docs = _table(spark, sf_dir, "documents")
+    s = lambda x: (F.lit(x) if isinstance(x, str) else x).cast("string")
+    prov = lambda page: F.array(F.struct(page.cast("bigint").alias("page_no")))
+    none = F.array().cast("array<struct<page_no:bigint>>")
+    item = lambda label, text, p, md=None, caption=None: F.struct(s(label).alias("label"), s(text).alias("text"), F.lit(1).cast("bigint").alias("depth"), p.alias("prov"), s("#/texts/0").alias("self_ref"), F.lit(md).cast("string").alias("markdown"), F.lit(caption).cast("string").alias("caption"))
+    items = F.array(item("text", F.col("text"), prov(F.col("doc_id") % 9 + 1)), item("text", "", none), item("table", "", none, "| a |"), item("picture", "", none, None, "seen"), item("picture", "", none, None, ""), item("text", " ", prov(F.lit(3))))
+    raw = F.to_json(F.struct(F.lit("success").alias("status"), items.alias("items")))
+    return _flat(_raw(docs, "docling", raw, "doc_id"), "kind", "text", "page", "depth", "provenance", "reference").withColumn("page", F.coalesce("page", F.lit(-1).cast("bigint")))
+
+
+_OFFICE_SQL = """
+WITH i(block_id, kind, text, page, provenance) AS (VALUES
+  (1::BIGINT, 'table', '| a |', -1::BIGINT, '[]'), (2, 'picture', 'seen', -1, '[]'), (3, 'picture', '[Picture: see engine.json]', -1, '[]'), (4, 'text', ' ', 3, '[{"page_no":3}]'))
+SELECT doc_id, 0::BIGINT AS block_id, 'text' AS kind, text, doc_id % 9 + 1 AS page, 1::BIGINT AS depth, '[{"page_no":' || (doc_id % 9 + 1) || '}]' AS provenance, '#/texts/0' AS reference FROM documents
+UNION ALL SELECT d.doc_id, i.block_id, i.kind, i.text, i.page, 1, i.provenance, '#/texts/0' FROM documents d, i
+"""
+
+
+def content_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of structured content of all shapes."""
+    events = _table(spark, sf_dir, "events")
+    kind = (F.col("event_id") % 8).cast("int")
+    n = F.col("event_id").cast("string")
+    docs = [
+        F.concat(F.lit('"s'), n, F.lit('"')), F.concat(F.lit("["), n, F.lit(',null,"x"]')), F.concat(F.lit('{"html":"h","text":'), n, F.lit("}")), F.concat(F.lit('{"text":null,"html":"'), n, F.lit('"}')),
+        F.concat(F.lit('{"latex":"l","table_body":["a",{"content":"'), n, F.lit('"}]}')), F.concat(F.lit('{"z":1.10,"a":['), n, F.lit("]}")), F.lit("true"), F.lit("null"),
+    ]
+    document = F.coalesce(*[F.when(kind == i, d) for i, d in enumerate(docs)])
+    return events.select("event_id", T.content_text(document).alias("text"))
+
+
+_CONTENT_SQL = """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 's' || event_id WHEN 1 THEN event_id || chr(10) || chr(10) || 'x' WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN ''
+  WHEN 4 THEN 'a' || chr(10) || event_id WHEN 5 THEN '{"z": 1.1, "a": [' || event_id || ']}' WHEN 6 THEN 'True' ELSE '' END AS text
+FROM events
+"""
+
+# time
+
+
+def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each turn, half a second apart, in passages of thirty seconds."""
+    turns = _table(spark, sf_dir, "conversations")
+    words = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(w.alias("text"), (i * 0.5).cast("double").alias("start"), (i * 0.5 + 0.4).cast("double").alias("end")).cast(WORD))
+    each = turns.select("conv_id", "turn", F.posexplode(passages(words, F.lit("xx"))).alias("segment", "p"))
+    return each.select("conv_id", "turn", F.col("segment").cast("bigint").alias("segment"), "p.text", "p.language", F.col("p.start").alias("t_start"), F.round("p.end", 3).alias("t_end"), F.size("p.words").cast("bigint").alias("n_words"))
+
+
+_WORDS_SQL = r"""
+WITH w AS (
+  SELECT conv_id, turn, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS i FROM conversations
+)
+SELECT conv_id, turn, (i // 60)::BIGINT AS segment, string_agg(word, ' ' ORDER BY i) AS text, 'xx' AS language, min(i)::DOUBLE * 0.5 AS t_start, round(max(i) * 0.5::DOUBLE + 0.4, 3) AS t_end, count(*) AS n_words
+FROM w GROUP BY conv_id, turn, i // 60
+"""
+
+
+def normalise_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as audio results: its assistant turns have stamps of one word a second, other turns are blank or come without stamps."""
+    turns = _table(spark, sf_dir, "conversations")
+    stamp = lambda w, i: F.struct(w.alias("text"), i.cast("double").alias("start_time"), (i + 1).cast("double").alias("end_time"))
+    result = F.struct(F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit("  ")).alias("text"), F.col("role").alias("language"), F.when(F.col("role") == "assistant", F.transform(F.split("text", r"\s+"), stamp)).alias("time_stamps"))
+    calls = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", result.alias("r")))).alias("p"))
+    raw = F.to_json(F.struct(F.lit(True).alias("timestamps"), F.transform("p", lambda x: x["r"]).alias("results")))
+    found = _flat(_raw(calls, "qwen-asr", raw, "conv_id"), "kind", "text", "language", "start", "end", "words")
+    return found.select("doc_id", "block_id", "kind", "text", "language", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.size(F.coalesce("words", F.array().cast(f"array<{WORD}>"))).cast("bigint").alias("n_words"))
+
+
+_TRANSCRIPT_SQL = r"""
+WITH w AS (
+  SELECT conv_id, turn, role, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS i FROM conversations WHERE role = 'assistant'
+), s AS (
+  SELECT conv_id, turn, role, i // 30 AS g, string_agg(word, ' ' ORDER BY i) AS text, min(i)::DOUBLE AS t_start, max(i)::DOUBLE + 1 AS t_end, count(*) AS n FROM w GROUP BY ALL
+  UNION ALL SELECT conv_id, turn, role, 0, '  ', NULL, NULL, 0 FROM conversations WHERE role <> 'assistant'
+)
+SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, g) - 1 AS block_id, 'transcript' AS kind, text, role AS language, t_start, t_end, n AS n_words FROM s
+"""
+
+# assembly
+
+
+def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and chunks of each document put together again, as digests of their ordered texts."""
+    docs = _line_blocks(spark, sf_dir)
+    flat = docs.select("doc_id", F.posexplode("blocks").alias("block_id", "b")).select("doc_id", F.col("block_id").cast("bigint").alias("block_id"), "b.text")
+    whole = sinks.assemble(flat, chunk_documents(docs, 200, 50).select("doc_id", "chunk_id", "text"))
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x["text"]), "\n"))
+    return whole.select("doc_id", F.size("blocks").cast("bigint").alias("n_blocks"), joined(F.col("blocks")).alias("blocks_md5"), F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint").alias("n_chunks"), joined(F.col("chunks")).alias("chunks_md5"))
+
+
+_ASSEMBLY_SQL = f"""
+WITH b AS (
+  SELECT doc_id, count(*) AS n_blocks, md5(string_agg(CASE WHEN i % 3 = 2 THEN ' ' || chr(12288) || chr(9) ELSE '  ' || line END, chr(10) ORDER BY i)) AS blocks_md5
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) GROUP BY doc_id
+), c AS (SELECT doc_id, count(*) AS n_chunks, md5(string_agg(text, chr(10) ORDER BY chunk_id)) AS chunks_md5 FROM ({_LINES_SQL}) GROUP BY doc_id)
+SELECT doc_id, n_blocks, blocks_md5, coalesce(n_chunks, 0) AS n_chunks, chunks_md5 FROM b LEFT JOIN c USING (doc_id)
+"""
+
+
+def markdown_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns joined as transcripts, page links, and the preview of the first."""
+    turns = _table(spark, sf_dir, "conversations")
+    each = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("t"))
+    text = T.join_ordered(F.col("t"), "turn", "text", "\n\n")
+    pages = F.transform(F.array_sort(F.transform("t", lambda x: x["turn"])), lambda n: T.page_link(n + 1, F.concat(F.lit("page-"), (n + 1).cast("string"), F.lit("\\page.md"))))
+    return each.select("conv_id", text.alias("markdown"), T.join_texts(pages).alias("links"), T.preview(text, 200).alias("preview"))
+
+
+_MARKDOWN_SQL = """
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS markdown, string_agg('[Page ' || (turn + 1) || '](page-' || (turn + 1) || '/page.md)', chr(10) || chr(10) ORDER BY turn) AS links,
+  substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 200) AS preview
+FROM conversations GROUP BY conv_id
+"""
+
+
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of each region as a Markdown table."""
+    nations, regions = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    own = nations.join(regions, nations.n_regionkey == regions.r_regionkey).groupBy("r_name").agg(F.array_sort(F.collect_list(F.array(F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.col("n_name")))).alias("rows"))
+    return own.select("r_name", T.markdown_table(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.col("rows"))).alias("markdown"))
+
+
+_TABLE_SQL = """
+SELECT r_name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || lpad(n_nationkey::VARCHAR, 3, '0') || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+"""
+
+# Steps of the plain text of a page, in syntax that Java and RE2 share; navigation and footers are left out.
+_PAGE_STEPS = [
+    (r"(?is)<!--.*?-->", " "),
+    (r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>", " "),
+    (r"(?is)<(nav|footer)\b.*?</(nav|footer)>", " "),
+    (r"(?i)</?(p|h[1-6]|li|ul|ol|div|br|tr|table|article|section|title|head|body|html)\b[^>]*>", "\n"),
+    (r"<[^>]*>", ""),
+    (r"[ \t\r\f]+", " "),
+    (r" *\n[ \n]*", "\n"),
+]
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("html")
+    for pattern, by in _PAGE_STEPS:
+        text = F.regexp_replace(text, pattern, by)
+    return _table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+
+
+def _html_sql() -> str:
+    text = "html"
+    for pattern, by in _PAGE_STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"SELECT page_id, {text} AS text FROM pages"
+
+
+def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record as JSON that keeps nulls, and its folder's name."""
+    docs = _table(spark, sf_dir, "documents")
+    value = F.struct("doc_id", F.lit(None).cast("bigint").alias("page"), F.col("lang"))
+    return docs.select("doc_id", sinks.to_json(value).alias("json"), T.output_name(F.lit("a.b.pdf"), F.col("doc_id").cast("string")).alias("folder"))
+
+
+_JSON_SQL = """SELECT doc_id, '{"doc_id":' || doc_id || ',"page":null,"lang":"' || lang || '"}' AS json, 'a.b-' || substr(sha256(doc_id::VARCHAR), 1, 12) AS folder FROM documents"""
+
+_ALL: dict[str, tuple[Query, str]] = {
+    "chunk_documents": (_chunked(1200, 150), _chunked_sql(1200, 150)),
+    "chunk_no_overlap": (_chunked(500, 0), _chunked_sql(500, 0)),
+    "chunk_dense": (_chunked(200, 50), _chunked_sql(200, 50)),
+    "chunk_lines": (chunk_lines, _LINES_SQL),
+    "chunk_flat_blocks": (chunk_flat_blocks, _LINES_SQL),
+    "atomic_blocks": (atomic_blocks, _ATOMIC_SQL),
+    "blank_block_gap": (blank_block_gap, _GAP_SQL),
+    "strip_text": (strip_text, _STRIP_SQL),
+    "route_files": (route_files, _FILES_SQL),
+    "route_rejects": (route_rejects, _REJECTS_SQL),
+    "normalise_pdf_pages": (normalise_pdf_pages, _PDF_SQL),
+    "normalise_image_pages": (normalise_image_pages, _IMAGE_SQL),
+    "normalise_office_items": (normalise_office_items, _OFFICE_SQL),
+    "normalise_transcripts": (normalise_transcripts, _TRANSCRIPT_SQL),
+    "content_coercion": (content_coercion, _CONTENT_SQL),
+    "segment_words": (segment_words, _WORDS_SQL),
+    "document_assembly": (document_assembly, _ASSEMBLY_SQL),
+    "markdown_join": (markdown_join, _MARKDOWN_SQL),
+    "table_markdown": (table_markdown, _TABLE_SQL),
+    "html_text": (html_text, _html_sql()),
+    "documents_json": (documents_json, _JSON_SQL),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
