@@ -131,7 +131,7 @@ class Model:
             own = keys[rows] & ((1 << 8 * (k + 1)) - 1)
             at = table.find(own)
             hit = at >= 0
-            if hit.all() and len(rows) == len(keys):
+            if k == ORDER and hit.all():
                 return cost[at]
             out[rows[hit]] += cost[at[hit]]
             rows, own = rows[~hit], own[~hit]
