@@ -29,7 +29,7 @@ class Parsed:
     @cached_property
     def documents(self) -> DataFrame:
         """doc_id, source, engine, markdown, blocks (nested)."""
-        return normalise(self.raw.filter("error IS NULL")).drop("raw")
+        return normalise(self.raw.filter("error IS NULL").drop("assets")).drop("raw")
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -42,7 +42,7 @@ class Parsed:
 
     @property
     def nested(self) -> DataFrame:
-        """Documents with raw, blocks and chunks in one row."""
+        """Documents with raw, assets, blocks and chunks in one row."""
         chunks = self.chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", *[c for c in self.chunks.columns if c not in {"chunk_id", "doc_id", "source", "engine"}]))).alias("chunks"))
         return normalise(self.raw.filter("error IS NULL")).join(chunks, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(chunks.schema["chunks"].dataType)))
 

@@ -124,7 +124,7 @@ def _superset(blocks: Column, names: list[str]) -> Column:
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """raw (doc_id, source, engine, raw, markdown) with ``blocks``; no row is shuffled.
+    """raw (doc_id, source, engine, raw, markdown) with ``blocks``; no row is shuffled. Files that the engine has written (assets) stay if there.
 
     Markdown of audio is made here, from the transcripts; the other engines bring theirs.
     """
@@ -137,4 +137,5 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
     transcripts = F.array_join(F.transform(transcript_results(F.col("raw"))["results"], lambda r: r["text"]), "\n\n")
     markdown = F.when(engine == "qwen-asr", transcripts).otherwise(F.col("markdown"))
-    return paged.select("doc_id", "source", "engine", "raw", markdown.alias("markdown"), blocks.alias("blocks"))
+    kept = [c for c in ("assets",) if c in raw.columns]
+    return paged.select("doc_id", "source", "engine", "raw", markdown.alias("markdown"), blocks.alias("blocks"), *kept)

@@ -12,20 +12,21 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-#: Takes (bytes, file name), gives (raw JSON, Markdown or None).
-Parse = Callable[[bytes, str], tuple[str, str | None]]
+#: Takes (bytes, file name), gives (raw JSON, Markdown or None) and, if the engine has written files, (relative name, bytes) of each.
+Parse = Callable[[bytes, str], tuple]
 
 DEFAULT_DEVICE = "cuda:0"
 MAX_NEW_TOKENS = 4096
 
 
-def _on_disk(data: bytes, name: str, work: Callable[[Path, Path], tuple[str, str | None]]) -> tuple[str, str | None]:
-    """Engines that read files get one in a folder of the task, which goes with the call."""
+def _on_disk(data: bytes, name: str, work: Callable[[Path, Path], tuple[str, str | None]]) -> tuple[str, str | None, list[tuple[str, bytes]]]:
+    """Engines that read files get one in a folder of the task, which goes with the call; what they write comes back."""
     with tempfile.TemporaryDirectory() as folder:
         path, out = Path(folder) / name, Path(folder) / "out"
         path.write_bytes(data)
         out.mkdir()
-        return work(path, out)
+        raw, markdown = work(path, out)
+        return raw, markdown, [(p.relative_to(out).as_posix(), p.read_bytes()) for p in sorted(out.rglob("*")) if p.is_file()]
 
 
 def pdf_engine(tier: str = "standard") -> Parse:

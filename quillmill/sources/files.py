@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmill.plans.routing import choose_engine, file_name
 from quillmill.sources.adapters import ADAPTERS
 
-RAW = "doc_id string, source string, engine string, raw string, markdown string, error string"
+RAW = "doc_id string, source string, engine string, raw string, markdown string, error string, assets array<struct<name:string,content:binary>>"
 
 
 def check_files(spark: SparkSession, paths: list[str]) -> None:
@@ -51,13 +51,14 @@ def parse(files: DataFrame, options: dict | None = None, quarantine: bool = Fals
                 try:
                     if r.engine not in ready:
                         ready[r.engine] = builders[r.engine](**options)
-                    raw, markdown = ready[r.engine](bytes(r.content), r.name)
-                    rows.append((r.doc_id, r.path, r.engine, raw, markdown, None))
+                    raw, markdown, *written = ready[r.engine](bytes(r.content), r.name)
+                    assets = [{"name": name, "content": data} for name, data in (written[0] if written else ())]
+                    rows.append((r.doc_id, r.path, r.engine, raw, markdown, None, assets))
                 except Exception as e:
                     if not quarantine:
                         raise
-                    rows.append((r.doc_id, r.path, r.engine, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "engine", "raw", "markdown", "error"], dtype="object")
+                    rows.append((r.doc_id, r.path, r.engine, None, None, f"{type(e).__name__}: {e}", []))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "engine", "raw", "markdown", "error", "assets"], dtype="object")
 
     return files.filter(F.col("engine").isNotNull()).select("doc_id", "path", "name", "engine", "content").mapInPandas(run, RAW)
 

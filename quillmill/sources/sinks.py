@@ -47,7 +47,7 @@ def _opened(block: dict, engine: str) -> dict:
 
 
 def write_files(parsed, out: str) -> DataFrame:
-    """document.md, document.json, chunks.json and engine.json in a folder for each document, below a
+    """document.md, document.json, chunks.json, engine.json and the engine's own files in a folder for each document, below a
     folder that all executors share; returns doc_id and folder. A folder that exists is an error. The
     folder is filled under another name and then renamed, so a failed task leaves no half document.
     """
@@ -61,6 +61,9 @@ def write_files(parsed, out: str) -> DataFrame:
                 if folder.exists():
                     raise FileExistsError(folder)
                 aside.mkdir(parents=True, exist_ok=True)
+                for asset in r.assets if r.assets is not None else ():
+                    (aside / asset["name"]).parent.mkdir(parents=True, exist_ok=True)
+                    (aside / asset["name"]).write_bytes(asset["content"])
                 blocks = [_opened(b, r.engine) for b in json.loads(r.blocks)]
                 chunks = []
                 for c in json.loads(r.chunks):
@@ -79,6 +82,6 @@ def write_files(parsed, out: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "folder"])
 
     nested = parsed.nested
-    flat = nested.select("doc_id", "source", "engine", "raw", "markdown", to_json(F.col("blocks")).alias("blocks"), to_json(F.col("chunks")).alias("chunks"), output_name(file_name(F.col("source")), F.col("doc_id")).alias("folder"))
+    flat = nested.select("doc_id", "source", "engine", "raw", "markdown", "assets", to_json(F.col("blocks")).alias("blocks"), to_json(F.col("chunks")).alias("chunks"), output_name(file_name(F.col("source")), F.col("doc_id")).alias("folder"))
     done = flat.mapInPandas(run, "doc_id string, folder string")
     return done.sparkSession.createDataFrame(done.collect(), "doc_id string, folder string")

@@ -15,7 +15,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def stream_chunks(spark: SparkSession, folder: str, *, engine: str = "auto", chunk_size: int = SIZE, overlap: int = OVERLAP, **engine_options) -> DataFrame:
     """Chunks of files as they arrive. It keeps no state, so no watermark is needed; files without an engine are left out, and failing files stay out."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
-    raw = parse(routed(files, engine), engine_options, quarantine=True).filter("error IS NULL")
+    raw = parse(routed(files, engine), engine_options, quarantine=True).filter("error IS NULL").drop("assets")
     return chunk_documents(normalise(raw).drop("raw", "markdown"), chunk_size, overlap)
 
 

@@ -122,7 +122,7 @@ def test_registered_engine_and_sinks(spark, tmp_path):
     stamps = [{"text": f"w{i}", "start_time": float(i), "end_time": i + 1.0} for i in range(40)]
     document = json.dumps({"timestamps": True, "results": [{"text": "t", "language": "en", "time_stamps": stamps}]})
     before = adapters.ADAPTERS["qwen-asr"]
-    adapters.register("qwen-asr", lambda device=None, timestamps=True: lambda data, name: (document, None))
+    adapters.register("qwen-asr", lambda device=None, timestamps=True: lambda data, name: (document, None, [("page-1/a.png", data)]))
     try:
         parsed = quillmill.parse_documents(spark, [str(tmp_path / "a.wav")], timestamps=True)
         assert [(b.start, b.end) for b in parsed.blocks.collect()] == [(0.0, 30.0), (30.0, 40.0)]
@@ -131,6 +131,7 @@ def test_registered_engine_and_sinks(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "tables/chunks")).count() == 2
         folder = sinks.write_files(parsed, str(tmp_path / "files")).head().folder
         raw = json.loads(open(f"{folder}/engine.json").read())
+        assert open(f"{folder}/page-1/a.png", "rb").read() == b"RIFF"
         assert raw["transcripts"] == ["t"] and len(raw["segments"]) == 2 and len(raw["segments"][0]["words"]) == 30
         parsed.release()
     finally:
