@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import shutil
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,8 +50,9 @@ def _opened(block: dict, engine: str) -> dict:
 
 def write_files(parsed, out: str) -> DataFrame:
     """document.md, document.json, chunks.json, engine.json and the engine's own files in a folder for each document, below a
-    folder that all executors share; returns doc_id and folder. A folder that exists is an error. The
-    folder is filled under another name and then renamed, so a failed task leaves no half document.
+    folder that all executors share; returns doc_id and folder. A folder is filled under another name and
+    then renamed, so a failed task leaves no half document and a repeated one finds its own. A folder with
+    other content is an error. For as many documents as one file system is to list; write_tables has no such bound.
     """
     root = Path(out)
 
@@ -57,10 +60,8 @@ def write_files(parsed, out: str) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                folder, aside = root / r.folder, root / f"_{r.folder}"
-                if folder.exists():
-                    raise FileExistsError(folder)
-                aside.mkdir(parents=True, exist_ok=True)
+                folder, aside = root / r.folder, root / f"_{r.folder}-{uuid.uuid4().hex}"
+                aside.mkdir(parents=True)
                 for asset in r.assets if r.assets is not None else ():
                     (aside / asset["name"]).parent.mkdir(parents=True, exist_ok=True)
                     (aside / asset["name"]).write_bytes(asset["content"])
@@ -77,7 +78,14 @@ def write_files(parsed, out: str) -> DataFrame:
                 if r.engine == "qwen-asr":
                     raw = {"transcripts": [x["text"] for x in raw["results"]], "segments": blocks}
                 write("engine.json", raw)
-                aside.rename(folder)
+                try:
+                    aside.rename(folder)
+                except OSError:
+                    # an earlier attempt of this task, or an equal run, has put the same folder there
+                    same = folder.is_dir() and all((folder / p.name).is_file() and (folder / p.name).read_bytes() == p.read_bytes() for p in aside.iterdir() if p.is_file())
+                    shutil.rmtree(aside)
+                    if not same:
+                        raise FileExistsError(folder) from None
                 rows.append((r.doc_id, str(folder)))
             yield pd.DataFrame(rows, columns=["doc_id", "folder"])
 

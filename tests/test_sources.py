@@ -98,13 +98,15 @@ def test_checks_in_order(spark, folder, tmp_path):
 
 
 def test_single_file_and_presets(spark, folder, tmp_path):
-    got = quillmill.parse_document(str(folder / "page.html"), output_dir=str(tmp_path / "out"), chunk_size=30, overlap=3)
+    got = quillmill.parse_document(str(folder / "page.html"), output_dir=str(tmp_path / "out"), chunk_size=5, overlap=1)
     out = tmp_path / "out"
     assert got.output_dir.startswith(str(out / "page-")) and got.engine == "docling"
     assert sorted(p.name for p in next(out.iterdir()).iterdir()) == ["chunks.json", "document.json", "document.md", "engine.json"]
     assert [c["chunk_id"] for c in got.chunks] == list(range(len(got.chunks)))
     assert set(got.blocks[0]) == {"kind", "text", "depth", "page", "provenance", "reference"} and got.blocks[0]["page"] is None
     assert api.preview(got, 5) == (got.markdown[:5], got.chunks[:3])
+    again = quillmill.parse_document(str(folder / "page.html"), output_dir=str(out), chunk_size=5, overlap=1)
+    assert again == got and len(list(out.iterdir())) == 1
     with pytest.raises(FileExistsError):
         try:
             quillmill.parse_document(str(folder / "page.html"), output_dir=str(out))
