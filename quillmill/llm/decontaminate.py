@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Method. A text's set is its distinct five-word shingles (words of lower-cased A-Z, split at ASCII
+Method. A text's set is its distinct five-word shingles (lower-case words, split at ASCII
 white space; a text of fewer words has one shingle, its whole word sequence; a text without words has
 none). An item leaks into a document when at least ``threshold`` of the item's set is in the
 document's set.
@@ -11,9 +11,13 @@ is read as overlapping windows of five quarters of u shingles, a quarter of u ap
 shingles lies whole in some window. Within a class the containment threshold t becomes a Jaccard
 bound of at least 0.8 t / (1.25 + 0.2 t) or so (0.45 for t = 0.8), and each of ``permutations`` MinHash
 values is a band of its own. For a class a pair at the threshold is missed with a probability below
-0.55 ** 24, about 6e-7, and a whole copy below 0.36 ** 24. An item whose shingles are strewn over
-a document, not together in a window, has its own way in: class-wide windows also report the item's
-MinHash values seen anywhere in the document, since the windows cover it (0.2 ** 24 for t = 0.8).
+0.55 ** 24, about 6e-7, and a whole copy below 0.36 ** 24. An item whose shingles are strewn over a
+document instead of lying in one window has a way of its own: the share of its MinHash shingles that
+are in the document estimates the containment, and with a third of them the item is a candidate too (at the
+threshold fewer than 8 of 24 has a probability of about 1e-7).
+A window has an item's MinHash value only if it holds the very shingle that gives it, so one look at a
+bitmap of those shingles tells most documents' windows apart from every item's without computing them;
+windows are computed for the permutations and classes that can still collide.
 Every candidate is verified on the strings of the shingles against the whole document.
 
 The benchmark is a stated query set. It is read in blocks of at most ``block_chars`` characters, a
@@ -37,7 +41,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 PERMUTATIONS = 24
 CLASS_RATIO = 1.25
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 _MEMO = 200_000
 
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared_shingles long, containment double"
@@ -49,7 +53,7 @@ _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
 def shingle_strings(words: list[bytes], size: int = SHINGLE) -> list[bytes]:
@@ -98,7 +102,7 @@ class Index:
     """MinHash values of a bounded block of items, by size class and permutation."""
 
     def __init__(self, items: list[tuple[int, str]], permutations: int, size: int = SHINGLE):
-        self.permutations, self.size = permutations, size
+        self.size = size
         hasher = _Hasher()
         self.items: list[tuple[int, frozenset[bytes]]] = []
         by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -107,40 +111,59 @@ class Index:
             shingles = frozenset(shingle_strings(words, size))
             if not shingles:
                 continue
-            signature = [int(_permuted(hasher(words, size), k).min()) for k in range(permutations)]
-            by_class.setdefault(size_class(len(shingles)), []).append((len(self.items), np.array(signature, np.uint64)))
+            hashes = hasher(words, size)
+            # the shingle that gives each MinHash value
+            source = np.array([hashes[_permuted(hashes, k).argmin()] for k in range(permutations)], np.uint64)
+            by_class.setdefault(size_class(len(shingles)), []).append((len(self.items), source))
             self.items.append((item_id, shingles))
-        self.classes = []
+        self.steps, self.tables = [], []
+        target, use, owner_of = [], [], []
         for c, members in sorted(by_class.items()):
-            step = max(1, math.ceil(CLASS_RATIO**c / 4))
-            tables = []
+            at = len(self.steps)
+            self.steps.append(max(1, math.ceil(CLASS_RATIO**c / 4)))
+            own = []
             for k in range(permutations):
-                values = np.array([s[k] for _, s in members], np.uint64)
+                source = np.array([s[k] for _, s in members], np.uint64)
+                values = _permuted(source, k)
                 order = np.argsort(values, kind="stable")
-                tables.append((values[order], np.array([i for i, _ in members], np.int64)[order]))
-            self.classes.append((step, tables))
+                own.append((values[order], np.array([i for i, _ in members], np.int64)[order]))
+                target.append(source)
+                use.append(np.full(len(members), at * permutations + k, np.int64))
+                owner_of.append(np.array([i for i, _ in members], np.int64))
+            self.tables.append(own)
+        self.permutations = permutations
+        self.target = np.concatenate(target) if target else np.zeros(0, np.uint64)
+        order = np.argsort(self.target, kind="stable")
+        self.target = self.target[order]
+        self.use, self.owner = ((np.concatenate(x) if x else np.zeros(0, np.int64))[order] for x in (use, owner_of))
+        bits = max(20, (16 * len(self.target)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.target >> self.shift] = True
 
     def candidates(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the items that share a MinHash value with a window of the document."""
-        found = []
-        if not len(hashes) or not self.classes:
+        near = np.unique(hashes[self.seen[hashes >> self.shift]])
+        low, high = np.searchsorted(self.target, near), np.searchsorted(self.target, near, side="right")
+        spans = [slice(a, b) for a, b in zip(low.tolist(), high.tolist()) if a < b]
+        if not spans:
             return np.zeros(0, np.int64)
-        for k in range(self.permutations):
-            mixed = _permuted(hashes, k)
-            for step, tables in self.classes:
-                # a window is five steps long and starts at a multiple of the step
-                low = np.minimum.reduceat(mixed, np.arange(0, len(mixed), step))
-                window = low.copy()
-                for shift in range(1, 5):
-                    if shift < len(low):
-                        np.minimum(window[:-shift], low[shift:], out=window[:-shift])
-                values, owner = tables[k]
-                at = np.searchsorted(values, window)
-                at[at == len(values)] = 0
-                for v in np.unique(window[values[at] == window]):
-                    a, b = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
-                    found.append(owner[a:b])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        strewn = np.bincount(np.concatenate([self.owner[s] for s in spans]))
+        found = [np.flatnonzero(strewn >= self.permutations / 3)]
+        # a document without the shingle behind a MinHash value has no window with that value
+        for use in np.unique(np.concatenate([self.use[s] for s in spans])).tolist():
+            at, k = divmod(use, self.permutations)
+            values, owner = self.tables[at][k]
+            # a window is five steps long and starts at a multiple of the step
+            window = np.minimum.reduceat(_permuted(hashes, k), np.arange(0, len(hashes), self.steps[at]))
+            short = window.copy()
+            for shift in range(1, min(5, len(short))):
+                np.minimum(window[:-shift], short[shift:], out=window[:-shift])
+            place = np.searchsorted(values, window)
+            place[place == len(values)] = 0
+            for v in np.unique(window[values[place] == window]):
+                found.append(owner[np.searchsorted(values, v) : np.searchsorted(values, v, side="right")])
+        return np.unique(np.concatenate(found))
 
 
 def _leaks(index, threshold: float):
