@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,42 @@ def held_out(doc_id: Column) -> Column:
 def hashed_share(column: Column) -> Column:
     """A number in [0, 1) that depends on the value alone; used to draw bounded, repeatable samples."""
     return (F.xxhash64(F.lit("sample"), column.cast("string")).bitwiseAND(F.lit(0xFFFFFFFF))) / F.lit(float(2**32))
+
+
+class HashTable:
+    """Open-addressing lookup from int64 keys to positions in a sorted key array."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, (len(keys) * 2).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        todo, at = np.arange(len(keys)), self._hash(keys)
+        while len(todo):
+            free = self.slot[at] == -1
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            first = first[free[first]]
+            self.slot[at[first]] = todo[first]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions, -1 for a key that isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._hash(keys)
+        held = self.slot[at]
+        # an empty slot's -1 compares with the last key and is told apart by its sign
+        hit = (self.keys[held] == keys) & (held >= 0)
+        out = np.where(hit, held, -1)
+        open_ = np.flatnonzero(~hit & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.slot[at[open_]]
+            hit = (self.keys[held] == keys[open_]) & (held >= 0)
+            out[open_[hit]] = held[hit]
+            open_ = open_[~hit & (held >= 0)]
+        return out

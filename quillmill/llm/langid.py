@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import hashed_share, held_out
+from quillmill.llm.common import HashTable, hashed_share, held_out
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1500
@@ -56,41 +56,6 @@ def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes
 
 
-class _Table:
-    """Open-addressing lookup from int64 keys to positions in a sorted key array."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 5).bit_length())
-        self.slot_key = np.full(1 << self.bits, -1, np.int64)
-        self.slot_at = np.full(1 << self.bits, -1, np.int32)
-        todo, at = np.arange(len(keys)), self._hash(keys)
-        while len(todo):
-            free = self.slot_key[at] == -1
-            _, first = np.unique(np.where(free, at, -1), return_index=True)
-            first = first[free[first]]
-            self.slot_key[at[first]] = keys[todo[first]]
-            self.slot_at[at[first]] = todo[first]
-            rest = np.ones(len(todo), bool)
-            rest[first] = False
-            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self._hash(keys)
-        held = self.slot_key[at]
-        out = np.where(held == keys, self.slot_at[at], -1)
-        open_ = np.flatnonzero((held != keys) & (held != -1))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            held = self.slot_key[at[open_]]
-            hit = held == keys[open_]
-            out[open_[hit]] = self.slot_at[at[open_[hit]]]
-            open_ = open_[~hit & (held != -1)]
-        return out
-
-
 class Model:
     """Frozen trees of all languages as cost tables."""
 
@@ -120,7 +85,7 @@ class Model:
                 escape[there, j] = -np.log2(distinct / (total + distinct))
                 cost[:, j] = escape[of, j] + lower[:, j]
                 cost[np.searchsorted(union, own), j] = -np.log2(number / (total + distinct)[at])
-            self.levels.append((_Table(union), cost, _Table(contexts), escape))
+            self.levels.append((HashTable(union), cost, HashTable(contexts), escape))
             below = (union, cost)
 
     def _costs(self, keys: np.ndarray) -> np.ndarray:

@@ -12,6 +12,10 @@ search over the whole text: each segment's Viterbi pass also yields the gap to i
 reading, only the N segments with the smallest gaps can differ from their best reading in an N-best
 list, and those few are searched by A-star and combined. Segments are kept in a bounded memo.
 
+The Viterbi passes of all segments that are new in a run of texts are made together: edges are found by
+rolling hashes of 1, 2, ... characters, as long as they begin a piece, and the passes advance over
+all segments one position at a time. Segments of over ``LONG`` characters have a pass of their own.
+
 Scores are those in the vocabulary file. A character without a piece scores ``FALLBACK`` below
 the worst piece. Equal scores: within a segment the one whose search branched last comes first; in a
 text the readings are compared from the last segment to the first, lower ranks first.
@@ -23,17 +27,24 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from array import array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import HashTable
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 FALLBACK = 10.0
 SPACE = "▁"
-_MEMO = 300_000
+LONG = 64
+_MEMO = 200_000
+#: Texts whose new segments are taken together.
+_RUN = 100
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEGMENT = re.compile(" *[^ \n]+| +|\n")
 
 FIELDS = "n_pieces long, n_byte_pieces long, best_score double, nbest array<struct<score: double, n_pieces: long, ids_hash: string>>, round_trip boolean"
@@ -61,6 +72,21 @@ class Pieces:
                 self.steps[piece] = i
         normal = [self.score[i] for i in self.steps.values() if i >= 0 and self.text[i].strip(SPACE)]
         self.fallback = min(normal) - FALLBACK
+        self.longest = max(map(len, self.steps))
+        hashes = np.array([self._hash(x) for x in self.steps], np.uint64).view(np.int64)
+        order = np.argsort(hashes)
+        self.table = HashTable(hashes[order])
+        self.piece_of = np.array(list(self.steps.values()), np.int64)[order]
+        self.scores = np.array([*self.score, self.fallback])  # the last is that of id -1
+        self.is_byte = np.zeros(len(self.text), bool)
+        self.is_byte[list(self.byte_of)] = True
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(_BASE) + ord(c) + 1) % 2**64
+        return h
 
     def lattice(self, segment: str) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
         """Edges (start, id, score) by their end, id -1 for fallback bytes; forward Viterbi scores."""
@@ -114,6 +140,77 @@ class Pieces:
             j = chosen[0]
         return forward[-1], self.ids_of(segment, edges[::-1]), gap
 
+    def best_of(self, segments: list[str]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
+        """best() of many segments at once: scores, ids, gaps."""
+        count = len(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, count)
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(count), sizes)
+        left = np.repeat(first + sizes, sizes) - np.arange(len(codes))
+        # a segment of n characters has n + 1 nodes; the node before character i of segment s is i + s
+        alive, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        starts, lengths, pieces = [], [], []
+        for size in range(1, self.longest + 1):
+            inside = left[alive] >= size
+            alive, h = alive[inside], h[inside]
+            h = h * _BASE + codes[alive + size - 1]
+            at = self.table.find(h.view(np.int64))
+            piece = np.where(at >= 0, self.piece_of[at], -1)
+            if size == 1:
+                starts.append(alive), lengths.append(np.ones(len(alive), np.int64)), pieces.append(piece)
+            else:
+                real = piece >= 0
+                starts.append(alive[real]), lengths.append(np.full(int(real.sum()), size)), pieces.append(piece[real])
+            alive, h = alive[at >= 0], h[at >= 0]
+            if not len(alive):
+                break
+        start, length, piece = map(np.concatenate, (starts, lengths, pieces))
+        end_at = start - first[owner[start]] + length
+        tail = start + owner[start]
+        head = tail + length
+        nodes = len(codes) + count
+        # by position in the segment, then by node, then the longest piece first
+        order = np.argsort((end_at * nodes + head) * 64 + (63 - length))
+        tail, head, piece, end_at = tail[order], head[order], piece[order], end_at[order]
+        score = self.scores[piece]
+        forward, gap, chosen = np.zeros(nodes), np.full(nodes, np.inf), np.zeros(nodes, np.int64)
+        turns = np.flatnonzero(np.concatenate(([True], end_at[1:] != end_at[:-1], [True])))
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist()):
+            value, to = forward[tail[a:b]] + score[a:b], head[a:b]
+            opens = np.concatenate(([True], to[1:] != to[:-1]))
+            at = np.flatnonzero(opens)
+            best = np.maximum.reduceat(value, at)
+            same = value == best[np.cumsum(opens) - 1]
+            winner = np.minimum.reduceat(np.where(same, np.arange(b - a), b), at)
+            value[winner] = -np.inf
+            forward[to[at]], chosen[to[at]] = best, winner + a
+            gap[to[at]] = best - np.maximum.reduceat(value, at)
+        ends = first + sizes + np.arange(count)
+        node, who = ends.copy(), np.arange(count)
+        least = np.full(count, np.inf)
+        taken, whose, turn = [], [], 0
+        while len(who):
+            least[who] = np.minimum(least[who], gap[node])
+            edge = chosen[node]
+            taken.append(edge), whose.append(who)
+            node = tail[edge]
+            on = node != first[who] + who
+            node, who, turn = node[on], who[on], turn + 1
+        edge, who = np.concatenate(taken)[::-1], np.concatenate(whose)[::-1]
+        order = np.argsort(who, kind="stable")
+        edge, who = edge[order], who[order]
+        found = piece[edge]
+        number = np.bincount(who, minlength=count)
+        cuts = np.cumsum(number)
+        plain = found.tolist()
+        ids = [plain[a:b] for a, b in zip((cuts - number).tolist(), cuts.tolist())]
+        for s in np.unique(who[found < 0]).tolist():
+            own = slice(int(cuts[s] - number[s]), int(cuts[s]))
+            base = first[s] + s
+            ids[s] = self.ids_of(segments[s], list(zip((tail[edge[own]] - base).tolist(), (head[edge[own]] - base).tolist(), found[own].tolist())))
+        return forward[ends], ids, least
+
     def nbest(self, segment: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best readings by backward A-star; the first is the Viterbi reading."""
         into, forward = self.lattice(segment)
@@ -159,21 +256,32 @@ class Segmenter:
         self.memo: dict[str, tuple] = {}
         self.searched: dict[tuple[str, int], list] = {}
 
-    def _segment(self, segment: str) -> tuple:
-        """score, packed ids, number of ids, of byte ids, gap, decoded text"""
-        plain = segment.replace(" ", SPACE)
-        score, ids, gap = self.pieces.best(plain)
-        bytes_ = sum(i in self.pieces.byte_of for i in ids)
-        return score, array("i", ids).tobytes(), len(ids), bytes_, gap, self.pieces.decode(ids)
-
-    def segments(self, text: str) -> list[tuple]:
-        parts = _SEGMENT.findall(" " + text)
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for part in set(parts).difference(memo):
-            memo[part] = self._segment(part)
-        return parts, list(map(memo.__getitem__, parts))
+    def learn(self, segments: set[str]) -> None:
+        """Best readings of the segments that the memo lacks: score, packed ids, number of ids, of byte ids, gap, decoded text."""
+        memo, pieces = self.memo, self.pieces
+        new = [x for x in segments if x not in memo]
+        short = [x for x in new if len(x) <= LONG]
+        found = [(x, *pieces.best(x.replace(" ", SPACE))) for x in new if len(x) > LONG]
+        if short:
+            scores, ids, gaps = pieces.best_of("\0".join(short).replace(" ", SPACE).split("\0") if not any("\0" in x for x in short) else [x.replace(" ", SPACE) for x in short])
+            found += zip(short, scores.tolist(), ids, gaps.tolist())
+        text, byte_of = pieces.text.__getitem__, pieces.byte_of.keys()
+        for x, score, ids, gap in found:
+            plain = byte_of.isdisjoint(ids)
+            decoded = "".join(map(text, ids)).replace(SPACE, " ") if plain else pieces.decode(ids)
+            memo[x] = score, array("i", ids).tobytes(), len(ids), 0 if plain else sum(i in byte_of for i in ids), gap, decoded
+
+    def ready(self, texts: list[str | None]) -> list[list[str]]:
+        """Learn the segments of several texts together; the segments of each."""
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        return parts
+
+    def segments(self, text: str) -> tuple[list[str], list[tuple]]:
+        (parts,) = self.ready([text])
+        return parts, list(zip(*map(self.memo.__getitem__, parts)))
 
     def encode(self, text: str) -> list[int]:
         return self.nbest(text, 1)[0][1].tolist()
@@ -190,15 +298,18 @@ class Segmenter:
         return [(s, array("i", b)) for s, b in self._nbest(*self.segments(text), n)]
 
     def _nbest(self, parts: list[str], held: list[tuple], n: int) -> list[tuple[float, bytes]]:
-        packed = [h[1] for h in held]
-        best = sum(h[0] for h in held)
+        """parts with their memo entries, field by field"""
+        scores, packed, _, _, gaps, _ = held
+        best = sum(scores)
         if n == 1:
             return [(best, b"".join(packed))]
-        near = heapq.nsmallest(n, ((h[4], k) for k, h in enumerate(held)))
+        gap = np.array(gaps)
+        near = np.flatnonzero(gap <= (np.partition(gap, n - 1)[n - 1] if len(gap) > n else np.inf))
+        near = near[np.argsort(gap[near], kind="stable")][:n].tolist()
         options = {}
         if len(self.searched) > 20_000:
             self.searched.clear()
-        for k in sorted(k for gap, k in near if gap != float("inf")):
+        for k in sorted(k for k in near if gaps[k] != float("inf")):
             key = (parts[k], n)
             if key not in self.searched:
                 self.searched[key] = [(s, array("i", ids).tobytes()) for s, ids in self.pieces.nbest(parts[k].replace(" ", SPACE), n)]
@@ -216,16 +327,19 @@ class Segmenter:
             out.append((best - loss, b"".join(own)))
         return out
 
-    def describe(self, text: str | None, n: int = N_BEST) -> tuple:
+    def describe(self, text: str | None, n: int = N_BEST, parts: list[str] | None = None) -> tuple:
+        """The values of FIELDS; parts: what ready() has given for the text."""
         if text is None:
             return 0, 0, None, [], None
         if not text:
             return 0, 0, 0.0, [(0.0, 0, xxhash.xxh64_hexdigest(b""))], True
-        parts, held = self.segments(text)
+        if parts is None:
+            (parts,) = self.ready([text])
+        held = list(zip(*map(self.memo.__getitem__, parts)))
         found = self._nbest(parts, held, n)
-        same = "".join(h[5] for h in held) == " " + text
+        same = "".join(held[5]) == " " + text
         lists = [(s, len(b) // 4, xxhash.xxh64_hexdigest(b)) for s, b in found]
-        return lists[0][1], sum(h[3] for h in held), lists[0][0], lists, same
+        return lists[0][1], sum(held[3]), lists[0][0], lists, same
 
 
 _held: dict[str, Segmenter] = {}
@@ -239,7 +353,10 @@ def segment_column(text: Column, n: int = N_BEST, vocabulary: str = VOCABULARY)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = segmenter(vocabulary)
         for batch in texts:
-            rows = [own.describe(t, n) for t in batch]
+            texts, rows = batch.tolist(), []
+            for a in range(0, len(texts), _RUN):
+                run = texts[a : a + _RUN]
+                rows += [own.describe(t, n, parts) for t, parts in zip(run, own.ready(run))]
             yield pd.DataFrame(
                 {
                     "n_pieces": pd.Series([r[0] for r in rows], dtype="int64"),

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillmill.llm import langid
+from quillmill.llm.common import HashTable
 from quillmill.llm.langid import ORDER, Model
 
 
@@ -68,7 +69,7 @@ def test_code_lengths_are_exact():
 def test_hash_table():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**40, 5000))
-    found = langid._Table(keys)
+    found = HashTable(keys)
     assert (found.find(keys) == np.arange(len(keys))).all()
     other = np.setdiff1d(rng.integers(0, 2**40, 5000), keys)
     assert (found.find(other) == -1).all()

@@ -53,6 +53,15 @@ def test_first_of_search_is_viterbi(own):
         assert (found[1][0] == score - gap) if len(found) > 1 else gap == float("inf")
 
 
+def test_passes_together_match_single_passes(own):
+    rng = random.Random(8)
+    words = ["▁", "▁▁▁", "\n", "▁the", "▁internationalisation", "日本語x", "\U0001f600", "▁\u3000é\t", "a" * 60]
+    words += ["".join(rng.choice("▁theingao'é0日\U0001f600") for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    scores, ids, gaps = own.pieces.best_of(words)
+    for w, s, i, g in zip(words, scores, ids, gaps):
+        assert (s, i, g) == own.pieces.best(w), w
+
+
 def test_round_trip(own):
     rng = random.Random(6)
     alphabet = "ab  \n\t é日\U0001f600ー0'_▂"
