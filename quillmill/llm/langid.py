@@ -31,7 +31,7 @@ DOCS_PER_LANGUAGE = 1500
 MIN_COUNT = 2
 MAX_NODES = 300_000
 #: Cells of (byte, language) that scoring holds at once.
-CELLS = 8_000_000
+CELLS = 4_000_000
 #: A text of at least so many bytes that costs more than 8 bits a byte under every tree is in none of the languages.
 REJECT_BYTES = 200
 UNDETERMINED = "und"
