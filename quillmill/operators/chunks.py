@@ -26,11 +26,17 @@ def window_count(n: Column, size: int, overlap: int, atomic: Column) -> Column:
     return F.when(n == 0, 0).when(atomic, 1).otherwise(cut).cast("int")
 
 
-def windows(text: Column, kind: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """array<struct<char_start, char_end, text>> of a block; empty for a blank one. Offsets count in the stripped text."""
+def stripped(text: Column) -> Column:
+    return strip(F.coalesce(text, F.lit("")))
+
+
+def windows(body: Column, n: Column, kind: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """array<struct<char_start, char_end, text>> of a block, given its stripped text and that one's length; empty for a blank one.
+
+    They should be plain columns or fields: each window looks at them, so an expression in their place would run as often.
+    """
     check_window(size, overlap)
-    body = strip(F.coalesce(text, F.lit("")))
-    n, atomic = F.length(body), is_atomic(kind)
+    atomic = is_atomic(kind)
     count = window_count(n, size, overlap, atomic)
 
     def window(k: Column) -> Column:
@@ -45,7 +51,9 @@ def chunk_texts(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text_
     """Chunks of a table in which a row is a document of one block: all columns, the text replaced, and block_id, chunk_id, char_start, char_end."""
     others = [c for c in docs.columns if c not in {text_col, "block_id", "chunk_id", "char_start", "char_end"}]
     kind = F.lit(None).cast("string") if kind is None else kind
-    each = docs.select(*others, F.posexplode(windows(F.col(text_col), kind, size, overlap)).alias("chunk_id", "w"))
+    bodies = docs.select(*others, kind.alias("__kind"), stripped(F.col(text_col)).alias("__body"))
+    bodies = bodies.withColumn("__n", F.length("__body"))
+    each = bodies.select(*others, F.posexplode(windows(F.col("__body"), F.col("__n"), F.col("__kind"), size, overlap)).alias("chunk_id", "w"))
     return each.select(*others, F.lit(0).cast("bigint").alias("block_id"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "w.char_start", "w.char_end", F.col("w.text").alias(text_col))
 
 
@@ -58,8 +66,10 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, b
     check_window(size, overlap)
     fields = [f.name for f in docs.schema[blocks_col].dataType.elementType.fields if f.name != "text"]
     others = [c for c in docs.columns if c != blocks_col]
-    cut = F.transform(F.col(blocks_col), lambda b, i: F.transform(windows(b["text"], b["kind"], size, overlap), lambda w: F.struct(i.cast("bigint").alias("block_id"), w.alias("w"))))
-    each = docs.select(*others, blocks_col, F.posexplode(F.flatten(cut)).alias("chunk_id", "c"))
+    bodies = docs.withColumn("__bodies", F.transform(blocks_col, lambda b: F.struct(stripped(b["text"]).alias("body"), b["kind"].alias("kind"))))
+    bodies = bodies.withColumn("__bodies", F.transform("__bodies", lambda b: F.struct(b["body"].alias("body"), F.length(b["body"]).alias("n"), b["kind"].alias("kind"))))
+    cut = F.transform("__bodies", lambda b, i: F.transform(windows(b["body"], b["n"], b["kind"], size, overlap), lambda w: F.struct(i.cast("bigint").alias("block_id"), w.alias("w"))))
+    each = bodies.select(*others, blocks_col, F.posexplode(F.flatten(cut)).alias("chunk_id", "c"))
     block = F.get(blocks_col, F.col("c.block_id").cast("int"))
     return each.select(
         *others, F.col("c.block_id").alias("block_id"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("c.w.char_start").alias("char_start"), F.col("c.w.char_end").alias("char_end"),
@@ -69,10 +79,11 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, b
 
 def chunk_blocks(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, doc_col: str = "doc_id") -> DataFrame:
     """Chunks of a flat table of blocks (doc_col, block_id, kind, text, ...): one shuffle, of blocks and not of chunks, numbers them."""
-    body = strip(F.coalesce(F.col("text"), F.lit("")))
-    count = window_count(F.length(body), size, overlap, is_atomic(F.col("kind")))
+    check_window(size, overlap)
+    blocks = blocks.withColumn("text", stripped(F.col("text"))).withColumn("__n", F.length("text"))
+    count = window_count(F.col("__n"), size, overlap, is_atomic(F.col("kind")))
     before = W.partitionBy(doc_col).orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)
     numbered = blocks.withColumn("__first", F.coalesce(F.sum(count.cast("bigint")).over(before), F.lit(0).cast("bigint")))
-    others = [c for c in blocks.columns if c not in {"text", "chunk_id", "char_start", "char_end"}]
-    each = numbered.select(*others, "__first", F.posexplode(windows(F.col("text"), F.col("kind"), size, overlap)).alias("__k", "w"))
+    others = [c for c in blocks.columns if c not in {"text", "chunk_id", "char_start", "char_end", "__n"}]
+    each = numbered.select(*others, "__first", F.posexplode(windows(F.col("text"), F.col("__n"), F.col("kind"), size, overlap)).alias("__k", "w"))
     return each.select(*others, (F.col("__first") + F.col("__k")).alias("chunk_id"), "w.char_start", "w.char_end", "w.text")

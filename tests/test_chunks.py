@@ -29,7 +29,7 @@ CASES = ["", " 　\x1c", "a", "x" * 9, "x" * 10, "x" * 11, "  " + "yz" * 40 + "\
 def test_windows(spark, size, overlap):
     rows = [(i, t, k) for i, (t, k) in enumerate((t, k) for t in CASES for k in (None, "text", "Table", "table_caption", "formula"))]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = {r.doc_id: [tuple(w) for w in r.w] for r in df.select("doc_id", chunks.windows(F.col("text"), F.col("kind"), size, overlap).alias("w")).collect()}
+    got = {r.doc_id: [tuple(w) for w in r.w] for r in df.withColumn("text", chunks.stripped(F.col("text"))).select("doc_id", chunks.windows(F.col("text"), F.length("text"), F.col("kind"), size, overlap).alias("w")).collect()}
     assert got == {i: plain_windows(t, k, size, overlap) for i, t, k in rows}
 
 
