@@ -28,6 +28,8 @@ BASE_BYTES = 1 << 20
 RATIO = 4
 MIN_RUNS = 4
 ARRIVALS = 8
+#: Size of row groups: what a writer or a reader of a shard holds at once.
+ROW_GROUP_BYTES = 32 << 20
 
 
 class ManifestConflict(RuntimeError):
@@ -123,7 +125,7 @@ class ShardStore:
         """Write df once and append it arrival by arrival (a column; nulls last): one version, or one list of shards if not commit, each."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         writer = (df.withColumn("__arrival", F.lit(0) if arrival is None else arrival)).write.partitionBy("__arrival")
-        writer.parquet(folder)
+        writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
         files = self._counted(self._files(folder), df.schema)
         batches: dict[str, list[dict]] = {}
         for f in files:
@@ -170,7 +172,7 @@ class ShardStore:
             session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target_bytes))
             session.conf.set("spark.sql.files.openCostInBytes", "0")
             session.conf.set("spark.sql.files.minPartitionNum", "1")
-            self._read_files(runs, schema, session).write.parquet(f"{folder}/merged")
+            self._read_files(runs, schema, session).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/merged")
             merged = self._counted(self._files(folder), schema)
             if sum(s["rows"] for s in merged) != sum(s["rows"] for s in runs):
                 raise RuntimeError("a merge has lost or repeated rows; nothing was committed")
@@ -190,12 +192,15 @@ class ShardStore:
         return self._read_files(now["shards"], T.StructType.fromJson(json.loads(now["schema"])))
 
     def read_with_shards(self, version: int | None = None) -> DataFrame:
-        """All rows of a version with __shard, the number of the shard in the manifest, and __version."""
+        """All rows of a version with __shard, the number of the shard in the manifest, and __version.
+
+        The numbers are broadcast: two values a shard, of which the driver holds the list anyway. Rows aren't shuffled.
+        """
         now = self.manifest(version)
         tails = ["/".join(s["file"].split("/")[-2:]) for s in now["shards"]]
         places = self.spark.createDataFrame(list(zip(tails, range(len(tails)))), "__tail string, __shard long")
         tail = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-        return self.read(version).withColumn("__tail", tail).join(places, "__tail", "left").drop("__tail").withColumn("__version", F.lit(now["version"]).cast("long"))
+        return self.read(version).withColumn("__tail", tail).join(F.broadcast(places), "__tail", "left").drop("__tail").withColumn("__version", F.lit(now["version"]).cast("long"))
 
     def vacuum(self, keep: int = 1, pending: list[dict] = ()) -> int:
         """Delete data files that neither the last ``keep`` versions nor ``pending`` (written, not yet committed) name; how many.
