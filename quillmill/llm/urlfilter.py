@@ -7,10 +7,11 @@ the prefixes of its path), and an as-of join keeps the entries whose interval ho
 The most specific match decides; of equally specific ones an allow list wins over a block list.
 
 The expansion is bounded by ``MAX_LABELS`` + ``MAX_DEPTH`` keys a capture, and captures that match
-nothing never leave the first join. A hot host isn't a problem of the join: intervals of one key
-are disjoint for each list, so a capture meets at most one per list and key; the join is an equi-join on the key, of which
-Spark may broadcast the entries by their measured size, and otherwise splits hot partitions of
-captures (AQE). What a capture matched is combined by one partial aggregate on its own row key.
+nothing never leave the first join. Intervals of one key are disjoint for each list, so a capture meets at
+most one per list and key. The join is an equi-join on the key and a salt: a hot host's captures are dealt
+to ``SALTS`` places, its entries are copied to each; AQE may split further, or broadcast the entries by
+their measured size. What a capture matched is combined by one partial aggregate on its own row key.
+A capture looks at all intervals of its keys, so the join's work grows with the changes of one entry.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Window as W
 #: Host suffixes and path prefixes that are looked up. Entries with more labels or segments match nothing.
 MAX_LABELS = 6
 MAX_DEPTH = 3
+#: Places that the captures of one key are dealt to.
+SALTS = 16
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -81,9 +84,10 @@ def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_
     # rows that are equal in id, url and time get equal answers: decide each such row once
     distinct = rows.filter(F.col("url").isNotNull() & F.col("fetched").isNotNull())
     split = distinct.select("id", "url", "fetched", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = split.select("id", "url", "fetched", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("k")).select("id", "url", "fetched", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
-    active = validity_intervals(events).withColumnRenamed("key", "entry")
-    hit = keys.join(active, (F.col("key") == F.col("entry")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    salt = F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(SALTS)).cast("int")
+    keys = split.select("id", "url", "fetched", salt.alias("salt"), F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("k")).select("id", "url", "fetched", "salt", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
+    active = validity_intervals(events).withColumnRenamed("key", "entry").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = keys.join(active, (F.col("key") == F.col("entry")) & (F.col("salt") == F.col("place")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     # the smallest of (less specific last, allow before block, names) decides
     order = F.struct((-F.col("rank")).alias("r"), F.col("verdict").alias("v"), F.col("list_name").alias("l"), F.col("key").alias("k"))
     best = hit.groupBy(F.col("id").alias("i"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.min(order).alias("best"), F.count_distinct("list_name", "verdict", "key").alias("n"))
