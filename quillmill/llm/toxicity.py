@@ -4,8 +4,9 @@ Method. A writer who hides a word is a noisy channel: letters become look-alikes
 repeated (stuuupid) or spaced out (i d i o t, i-d-i-o-t). A token that shows such signs becomes a
 character lattice: every look-alike may stand for several letters, a long run for one or two
 letters, a separator for nothing or for a word break, each at a channel cost. Viterbi decoding
-under a character trigram model, counted over all documents, picks the restored text. Tokens without
-such signs have one path and are left alone.
+under a character trigram model, counted over all documents, picks the restored text, in time linear in
+the length of a token or spaced-out run, whatever that is. Tokens without such signs have one path and
+are left alone.
 
 The restored text is scored by logistic regression over the presence of character n-grams of words
 and of whole words, so an unseen inflection of a known stem still counts. The n-grams are selected
@@ -34,6 +35,8 @@ MIN_RATIO = 15.0
 MAX_FEATURES = 20_000
 RIDGE = 0.1
 _MEMO = 200_000
+#: Longer tokens are decoded like all others, but not remembered.
+_MEMO_LENGTH = 64
 
 # Look-alike characters and the letters they stand for.
 LOOKALIKES = {
@@ -157,13 +160,14 @@ class Decoder:
             if not core.isalpha() or _RUN.search(core):
                 # three or more equal symbols at the end decorate a word
                 core = re.sub(r"([^\w\s])\1\1+$", "", core)
-                slots = self.lattice(core) if len(core) <= 64 else None
+                slots = self.lattice(core)
                 got = self.decode(slots) if slots else core
             else:
                 got = core
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            self.memo[token] = got
+            if len(token) <= _MEMO_LENGTH:
+                if len(self.memo) > _MEMO:
+                    self.memo.clear()
+                self.memo[token] = got
         return got
 
     def words(self, text: str | None) -> list[str]:
@@ -179,7 +183,7 @@ class Decoder:
         return out
 
     def _joined(self, run: str) -> str:
-        slots = self.lattice(run) if len(run) <= 200 else None
+        slots = self.lattice(run)
         return self.decode(slots) if slots else run
 
     def restore(self, text: str | None) -> str:

@@ -96,3 +96,17 @@ def test_empty_and_one_sided_tables(spark):
     assert toxicity.score_documents(docs.limit(0), labels).collect() == []
     assert {r.predicted for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0}
     assert {r.predicted for r in toxicity.score_documents(docs, labels.filter("toxic = 1")).collect()} == {1}
+
+
+def test_long_obfuscation_is_decoded(spark):
+    rows = texts()
+    docs, labels = frames(spark, rows)
+    spaced = " ".join("".join(["garden", "river", "window", "letter"] * 12 + ["idiot"] + ["summer", "paper"] * 12))
+    assert len(spaced) > 800
+    long = {2000: spaced, 2001: "st" + "u" * 80 + "pid", 2002: "-".join([*["garden"] * 12, "m0r0n"])}
+    more = spark.createDataFrame([(i, t, "en", 0.0, 3) for i, t in long.items()], docs.schema)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.union(more), labels).collect()}
+    assert [got[i] for i in long] == [1, 1, 1]
+    own = Decoder(toxicity.language_model(docs))
+    assert own.restore(long[2001]) == "stupid" and "idiot" in own.restore(spaced) and "moron" in own.restore(long[2002])
+    assert "idiot" not in own.memo and all(len(k) <= 64 for k in own.memo)
