@@ -35,8 +35,10 @@ MIN_RATIO = 15.0
 MAX_FEATURES = 20_000
 RIDGE = 0.1
 _MEMO = 200_000
-#: Longer tokens are decoded like all others, but not remembered.
+#: Longer tokens are decoded, and longer words looked up, like all others, but not remembered.
 _MEMO_LENGTH = 64
+#: Longer words are no feature as a whole; their n-grams are.
+WHOLE_WORD = 40
 
 # Look-alike characters and the letters they stand for.
 LOOKALIKES = {
@@ -191,9 +193,10 @@ class Decoder:
 
 
 def word_features(word: str) -> set[str]:
-    """n-grams of three to six characters of ^word$, and the word itself."""
-    marked = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}"
-    return {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
+    """n-grams of three to six characters of the whole of ^word$, and, up to ``WHOLE_WORD`` characters, the word itself."""
+    marked = f"^{word}$"
+    grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
+    return grams | {marked} if len(word) <= WHOLE_WORD else grams
 
 
 class Scorer:
@@ -213,9 +216,11 @@ class Scorer:
         for word in set(self._decoder.words(text)):
             own = memo.get(word)
             if own is None:
-                if len(memo) > _MEMO:
-                    memo.clear()
-                own = memo[word] = tuple(f for f in word_features(word) if f in self.weights)
+                own = tuple(f for f in word_features(word) if f in self.weights)
+                if len(word) <= _MEMO_LENGTH:
+                    if len(memo) > _MEMO:
+                        memo.clear()
+                    memo[word] = own
             if own:
                 found.update(own)
         return found

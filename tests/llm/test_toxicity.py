@@ -110,3 +110,13 @@ def test_long_obfuscation_is_decoded(spark):
     own = Decoder(toxicity.language_model(docs))
     assert own.restore(long[2001]) == "stupid" and "idiot" in own.restore(spaced) and "moron" in own.restore(long[2002])
     assert "idiot" not in own.memo and all(len(k) <= 64 for k in own.memo)
+
+
+def test_long_words_show_all_their_stems(spark):
+    word = "thisisareallylongsentenceaboutyoubeinganidiotandmoron"
+    assert {"^thi", "idiot", "moron$", "ron$"} <= toxicity.word_features(word) and f"^{word}$" not in toxicity.word_features(word)
+    assert "^idiot$" in toxicity.word_features("idiot")
+    docs, labels = frames(spark, texts())
+    more = spark.createDataFrame([(3000, word, "en", 0.0, 3), (3001, "garden" * 400 + "stupid" + "river" * 400, "en", 0.0, 3), (3002, "garden" * 12, "en", 0.0, 3)], docs.schema)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.union(more), labels).collect()}
+    assert [got[i] for i in (3000, 3001, 3002)] == [1, 1, 0]
