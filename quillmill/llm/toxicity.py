@@ -3,7 +3,8 @@
 Method. A writer who hides a word is a noisy channel: letters become look-alikes (1d10t), are
 repeated (stuuupid) or spaced out (i d i o t, i-d-i-o-t). A token that shows such signs becomes a
 character lattice: every look-alike may stand for several letters, a long run for one or two
-letters, a separator for nothing or for a word break, each at a channel cost. Viterbi decoding
+letters, any other character between letters (a separator) for nothing or for a word break, each at a
+channel cost; digits and marks of other scripts stay, an apostrophe alone is no sign. Viterbi decoding
 under a character trigram model, counted over all documents, picks the restored text, in time linear in
 the length of a token or spaced-out run, whatever that is. Tokens without such signs have one path and
 are left alone.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +47,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l", "¡": "i",
 }
-SEPARATORS = "-._*~"
+#: Spelling, not noise: a token with no other sign is left alone.
+APOSTROPHES = "'\u2019\u02bc"
 #: Costs, in nats, of a look-alike, of dropping a separator or a repetition, and of a word break at a separator.
 COST_LOOKALIKE, COST_DROP, COST_BREAK = 1.0, 0.5, 1.0
 
@@ -119,11 +122,12 @@ class Decoder:
                     slots.append([(r * k, cost + COST_DROP) for r, cost in alternatives for k in (1, 2)])
                 else:
                     slots.extend(list(alternatives) for _ in range(j - i))
-            elif c in SEPARATORS or c == " ":
-                noisy = True
-                slots.append([("", COST_DROP), (" ", COST_BREAK)])
+            elif c.isalnum() or unicodedata.category(c)[0] == "M":
+                # other digits and marks that belong to a letter
+                slots.extend([(c, 0.0)] for _ in range(j - i))
             else:
-                return None
+                noisy = noisy or c not in APOSTROPHES
+                slots.append([("", COST_DROP), (" ", COST_BREAK)])
             i = j
         return slots if noisy and letters else None
 

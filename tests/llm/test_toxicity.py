@@ -120,3 +120,17 @@ def test_long_words_show_all_their_stems(spark):
     more = spark.createDataFrame([(3000, word, "en", 0.0, 3), (3001, "garden" * 400 + "stupid" + "river" * 400, "en", 0.0, 3), (3002, "garden" * 12, "en", 0.0, 3)], docs.schema)
     got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.union(more), labels).collect()}
     assert [got[i] for i in (3000, 3001, 3002)] == [1, 1, 0]
+
+
+def test_other_characters_do_not_stop_the_decoder(spark):
+    docs, labels = frames(spark, texts())
+    noisy = ["1d10t's", "l'1d10t", "you,1d10t", "1d10t/m0r0n", "s#t#u#p#i#d", "stu%pid", "m0r0n&garden", "1d\u200b10t"]
+    own = Decoder(toxicity.language_model(docs))
+    for token in noisy:
+        assert any(w in own.restore(token).replace(" ", "") for w in BAD), (token, own.restore(token))
+    assert own.lattice("st#pid") and not set("#,/") & set(own.restore("st#pid garden,river book/paper"))
+    for left in ("don't", "l\u2019eau", "\u0939\u093f\u0928\u094d\u0926\u0940", "2024/12"):
+        assert own.restore(left) == left
+    more = spark.createDataFrame([(4000 + i, f"the garden {t} window", "en", 0.0, 3) for i, t in enumerate(noisy)], docs.schema)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.union(more), labels).collect()}
+    assert [got[4000 + i] for i in range(len(noisy))] == [1] * len(noisy)
