@@ -6,8 +6,8 @@ Method. List entries are dated events: from ``since`` on, a host or a URL prefix
 the prefixes of its path), and an as-of join keeps the entries whose interval holds the fetch time.
 The most specific match decides; of equally specific ones an allow list wins over a block list.
 
-The expansion is bounded by ``MAX_LABELS`` + ``MAX_DEPTH`` keys a capture, and captures that match
-nothing never leave the first join. Intervals of one key are disjoint for each list, so a capture meets at
+The expansion gives a key for every label of the host and every segment of the path, whatever their
+number, and captures that match nothing never leave the first join. Intervals of one key are disjoint for each list, so a capture meets at
 most one per list and key. The join is an equi-join on the key and a salt: a hot host's captures are dealt
 to ``SALTS`` places, its entries are copied to each; AQE may split further, or broadcast the entries by
 their measured size. What a capture matched is combined by one partial aggregate on its own row key.
@@ -20,9 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Host suffixes and path prefixes that are looked up. Entries with more labels or segments match nothing.
-MAX_LABELS = 6
-MAX_DEPTH = 3
 #: Places that the captures of one key are dealt to.
 SALTS = 16
 
@@ -46,15 +43,15 @@ def lookup_keys(host: Column, path: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))),
+        F.sequence(F.lit(1), n),
         lambda k: F.struct(F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - k + 1, k), ".")).alias("key"), k.alias("rank")),
     )
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     prefixes = F.when(
         F.size(parts) > 0,
         F.transform(
-            F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MAX_DEPTH))),
-            lambda k: F.struct(F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("key"), (k + 100).alias("rank")),
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda k: F.struct(F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("key"), (k + n).alias("rank")),
         ),
     ).otherwise(F.array().cast("array<struct<key:string,rank:int>>"))
     return F.when(host.isNotNull(), F.concat(domains, prefixes))

@@ -63,3 +63,17 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], EVENTS)
     assert [r.decision for r in urlfilter.filter_captures(captures, nothing).collect()] == ["pass"]
     assert urlfilter.filter_captures(captures.limit(0), nothing).collect() == []
+
+
+def test_deep_hosts_and_paths_match(spark):
+    host = ".".join("abcdefgh") + ".example.com"
+    deep = f"p:{host}/" + "/".join(map(str, range(12)))
+    long = ".".join(["x"] * 120) + ".org"
+    events = [("l", "block", "d:" + host, "add", day(1)), ("l", "allow", deep, "add", day(1)), ("l", "allow", "d:" + long, "add", day(1)), ("l", "block", f"p:{long}/a/b/c/d", "add", day(1))]
+    urls = [f"http://{host}/", f"http://y.{host}/0", f"http://{host}/" + "/".join(map(str, range(11))), f"http://{host}/" + "/".join(map(str, range(20))), f"http://{long}/a/b/c", f"http://{long}/a/b/c/d/e"]
+    captures = spark.createDataFrame([(i, u, day(2)) for i, u in enumerate(urls)], "page_id long, url string, fetched timestamp")
+    got = {r.page_id: (r.decision, r.matched_key, r.n_matches) for r in urlfilter.filter_captures(captures, spark.createDataFrame(events, EVENTS)).collect()}
+    assert got == {
+        0: ("block", "d:" + host, 1), 1: ("block", "d:" + host, 1), 2: ("block", "d:" + host, 1), 3: ("allow", deep, 2),
+        4: ("allow", "d:" + long, 1), 5: ("block", f"p:{long}/a/b/c/d", 2),
+    }
