@@ -10,8 +10,8 @@ computed once, for all languages together; scoring is a table lookup for each by
 training hasn't seen fall back order by order. The code lengths are exact under the frozen trees.
 
 Training draws a bounded, repeatable sample: about ``DOCS_PER_LANGUAGE`` documents of each language by
-a hash of the id. Nodes seen fewer than ``MIN_COUNT`` times are not stored, and a language keeps at
-most ``MAX_NODES`` windows, the most frequent ones. The model's size is bounded by that, not by the corpus.
+a hash of the id. All windows of the sample are kept, also those seen once, so every order's counts are
+whole. The model's size is bounded by the sample, not by the corpus.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from quillmill.llm.common import HashTable, hashed_share, held_out
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1500
-MIN_COUNT = 2
-MAX_NODES = 300_000
 #: Cells of (byte, language) that scoring holds at once.
 CELLS = 4_000_000
 #: A text of at least so many bytes that costs more than 8 bits a byte under every tree is in none of the languages.
@@ -153,8 +151,8 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(keys)), pa.array(keys), pa.array(number.astype(np.int64))], ["lang", "key", "n"])
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trees from a bounded sample of the rows with a language that are not held out."""
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Trees from a bounded sample of the rows with a language that are not held out; a ``min_count`` over 1 drops rarer windows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     number = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not number:
@@ -166,8 +164,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, min_count
     counts = {}
     for language, own in got.groupby("lang"):
         keys, n = own["key"].to_numpy(), own["n"].to_numpy()
-        order = np.lexsort((keys, -n))[:max_nodes]
-        order = order[np.argsort(keys[order])]
+        order = np.argsort(keys)
         counts[language] = (keys[order], n[order])
     return Model(counts)
 

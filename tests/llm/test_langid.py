@@ -115,3 +115,21 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
     assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_production_trees_are_whole(spark):
+    import zlib
+
+    few = [(2000, "qu'on s'en va déjà", "xx"), (2001, "où êtes-vous, mes chers", "xx")]
+    assert all(zlib.crc32(str(i).encode()) % 5 for i, _, _ in few)
+    data = corpus() + few
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    own = langid.train(df)
+    learned = [(t, k) for i, t, k in data if zlib.crc32(str(i).encode()) % 5]
+    plain = {k: PlainTree([t for t, own_lang in learned if own_lang == k]) for k in {k for _, k in learned}}
+    assert own.languages == sorted(plain) and "xx" in own.languages
+    samples = ["the other house", "déjà vu", "mañana über", few[0][1], "\u4e16\u754c"]
+    for t, got in zip(samples, own.bits(samples)[0]):
+        assert got == pytest.approx([plain[k].bits(t) for k in own.languages], rel=1e-4, abs=1e-3)
+    by = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert by[2000] == by[2001] == "xx"
