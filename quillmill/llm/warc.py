@@ -3,17 +3,20 @@
 Every response gives a metadata record (application/warc-fields) with its HTTP status, its source
 headers and its payload digest, and, if its payload is text, a conversion record (text/plain). Both
 point back to the response by WARC-Refers-To with its target URI and date, and their ids are made from
-the type and the response's id, so a second run gives the same records. All of it is one native
-projection without a shuffle; files are written by Spark's text writer, whose line separator is
+the type and the response's id, so a second run gives the same records. All of it is one
+projection without a shuffle, native but for the character references of HTML; files are written by Spark's text writer, whose line separator is
 the blank lines that end a WARC record.
 """
 
 from __future__ import annotations
 
+import html as markup_rules
 import re
 from collections.abc import Iterator
 from functools import reduce
+from html.entities import html5
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,9 @@ HTML_STEPS = [
     (r"(?i)</?(p|h[1-6]|li|ul|ol|div|br|tr|table|article|section|title|head|body|html)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 ]
-# Entities that occur in running text; the ampersand comes last.
+# Character references that end in a semicolon; what lacks it stays, as in the SQL counterpart.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+# Entities that the SQL counterpart knows; the ampersand comes last.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&#160;", " "),
     ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
@@ -35,13 +40,22 @@ ENTITIES = [
 SPACE_STEPS = [(r"[ \t\r\f]+", " "), (r" *\n[ \n]*", "\n")]
 
 
+def _decode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(m: re.Match) -> str:
+        known = m[0][1] == "#" or m[0][1:] in html5
+        return markup_rules.unescape(m[0]).replace("\xa0", " ") if known else m[0]
+
+    for batch in texts:
+        yield pd.Series([_REFERENCE.sub(one, t) if t and "&" in t else t for t in batch], dtype="object")
+
+
 def html_text(html: Column) -> Column:
-    """Plain text of HTML: comments and code go, block elements break lines, spaces are folded, ends are trimmed."""
+    """Plain text of HTML: comments and code go, block elements break lines, named and numeric character
+    references are decoded once (a no-break space as a space; without the semicolon they stay), spaces are folded, ends are trimmed."""
     text = html
     for pattern, by in HTML_STEPS:
         text = F.regexp_replace(text, pattern, by)
-    for entity, by in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(by))
+    text = F.pandas_udf(_decode, "string")(text)
     for pattern, by in SPACE_STEPS:
         text = F.regexp_replace(text, pattern, by)
     return F.btrim(text, F.lit(" \n"))
@@ -80,7 +94,7 @@ def derive(responses: DataFrame) -> DataFrame:
         F.coalesce("payload_digest", digest(F.col("payload"))).alias("payload_digest"),
     )
     markup = F.col("kind").isin("text/html", "application/xhtml+xml")
-    text = F.when(markup, html_text(F.col("payload"))).when(F.col("kind").startswith("text/"), F.col("payload"))
+    text = F.when(markup, html_text(F.when(markup, F.col("payload")))).when(F.col("kind").startswith("text/"), F.col("payload"))
     lines = F.when(F.col("source_headers") != "", F.concat(F.lit("source-header: "), F.regexp_replace("source_headers", "\r\n", "\r\nsource-header: "), F.lit(CRLF))).otherwise("")
     fields = F.concat(
         F.when(F.col("source_status").isNotNull(), F.concat(F.lit("source-status: "), F.col("source_status").cast("string"), F.lit(CRLF))).otherwise(""),

@@ -55,3 +55,12 @@ def test_derivatives_of_read_records(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record + record)
     got = warc.derive(warc.read_warc(spark, str(tmp_path)).filter("record_type = 'response'")).collect()
     assert len(got) == 4 and {r.payload_digest for r in got} == {"sha1:Q"} and {r.block for r in got if r.record_type == "conversion"} == {"é"}
+
+
+def test_all_character_references_are_decoded(spark):
+    html = "<p>caf&eacute; &auml;&ntilde; &#233;&#8217;&#x2019;&#X1F600; &amp;eacute; &amp;amp; &copy; R&amp 2024 &unknown; &notit; a&b AT&T &#0; x&nbsp;&#160;y &NotEqualTilde;</p>"
+    text = "café äñ é’’\U0001f600 &eacute; &amp; © R&amp 2024 &unknown; &notit; a&b AT&T \ufffd x y \u2242\u0338"
+    rows = [("<urn:1>", "http://a/", None, f"HTTP/1.1 200 X\r\nContent-Type: {kind}\r\n\r\n{html}", None, 1, "x") for kind in ("text/html", "text/plain", "image/png")]
+    got = [r for r in warc.derive(spark.createDataFrame(rows, SCHEMA)).collect() if r.record_type == "conversion"]
+    assert [r.block for r in got] == [text, html]
+    assert got[0].content_length == len(text.encode()) and got[0].block_digest == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
