@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -19,17 +21,24 @@ from quillmill.sources import sinks
 
 @dataclass
 class Parsed:
-    """Results of a batch; ``raw`` is kept on disk, so that the engines run once."""
+    """Results of a batch. ``results`` holds every file that an engine took, with its raw output and its
+    blocks or its ``error``; it is kept, so that the engines run once."""
 
-    raw: DataFrame
+    results: DataFrame
     rejected: DataFrame
     size: int
     overlap: int
+    kept_at: str | None = None
+
+    @property
+    def raw(self) -> DataFrame:
+        """doc_id, source, engine, raw, markdown, error, assets."""
+        return self.results.drop("blocks")
 
     @cached_property
     def documents(self) -> DataFrame:
         """doc_id, source, engine, markdown, blocks (nested)."""
-        return normalise(self.raw.filter("error IS NULL").drop("assets")).drop("raw")
+        return self.results.filter("error IS NULL").drop("raw", "assets", "error")
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -43,19 +52,44 @@ class Parsed:
     @property
     def nested(self) -> DataFrame:
         """Documents with raw, assets, blocks and chunks in one row."""
-        chunks = self.chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", *[c for c in self.chunks.columns if c not in {"chunk_id", "doc_id", "source", "engine"}]))).alias("chunks"))
-        return normalise(self.raw.filter("error IS NULL")).join(chunks, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(chunks.schema["chunks"].dataType)))
+        fields = [c for c in self.chunks.columns if c not in {"chunk_id", "doc_id", "source", "engine"}]
+        chunks = self.chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", *fields))).alias("chunks"))
+        none = F.array().cast(chunks.schema["chunks"].dataType)
+        return self.results.filter("error IS NULL").drop("error").join(chunks, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", none))
 
     def release(self) -> None:
-        self.raw.unpersist()
+        """Give up what is kept; the DataFrames can't be used afterwards."""
+        self.results.unpersist()
+        if self.kept_at:
+            spark = self.results.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.kept_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def _kept(results: DataFrame) -> tuple[DataFrame, str | None]:
+    """results written to the folder that spark.checkpoint.dir names, where a lost executor costs nothing; without
+    one (a local session), kept on the executors' disks from their first use on."""
+    spark = results.sparkSession
+    shared = _shared_folder(spark)
+    if not shared:
+        return results.persist(StorageLevel.DISK_ONLY), None
+    path = f"{shared.rstrip('/')}/quillmill-parsed-{uuid.uuid4().hex}"
+    results.write.parquet(path)
+    return spark.read.schema(results.schema).parquet(path), path
 
 
-def parse_documents(spark: SparkSession, paths: str | list[str], *, engine: str = "auto", chunk_size: int = SIZE, overlap: int = OVERLAP, strict: bool = True, **engine_options) -> Parsed:
+def parse_documents(
+    spark: SparkSession, paths: str | list[str], *, engine: str = "auto", chunk_size: int = SIZE, overlap: int = OVERLAP, strict: bool = True, profile: ResourceProfile | None = None, **engine_options
+) -> Parsed:
     """Parse files or folders.
 
     Checks come in this order: listed files exist, window, engines, options. strict: a file that no
-    engine takes, or that an engine fails on, is an error; otherwise such files are in ``rejected``,
-    or have their ``error`` in ``raw``.
+    engine takes, or that an engine or one of its gates fails on, is an error; otherwise such files are in
+    ``rejected``, or have their ``error`` in ``raw``. profile: resources of the tasks that run the engines.
     """
     if isinstance(paths, list):
         sources.check_files(spark, paths)
@@ -69,8 +103,9 @@ def parse_documents(spark: SparkSession, paths: str | list[str], *, engine: str
     if engine_options:
         used = [r.engine for r in found.filter("engine IS NOT NULL").select("engine").distinct().collect()]
         check_options(used, engine_options)
-    raw = sources.parse(found, engine_options, quarantine=not strict).persist(StorageLevel.DISK_ONLY)
-    return Parsed(raw, refused, chunk_size, overlap)
+    raw = sources.parse(found, engine_options, quarantine=not strict, profile=profile)
+    results, path = _kept(normalise(raw, strict))
+    return Parsed(results, refused, chunk_size, overlap, path)
 
 
 @dataclass

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.binding import let
+
 #: Every character that counts as white space when a text is stripped; there is none beyond U+3000.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -87,10 +89,22 @@ def preview(markdown: Column, size: int = 2000) -> Column:
     return F.substring(markdown, 1, size)
 
 
+def markdown_cell(cell: Column) -> Column:
+    """A cell's text: null is empty, a line break is a space, a bar is escaped."""
+    return F.replace(F.replace(F.coalesce(cell, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
+
+
 def markdown_table(rows: Column) -> Column:
-    """array<array<string>>, the header first, as a Markdown table; an empty array gives an empty text."""
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))), " | "), F.lit(" |"))
-    header = F.get(rows, F.lit(0))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(header)))
-    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(header), rule), body), "\n")).otherwise("")
+    """array<array<string>>, the header first, as a Markdown table; shorter rows are filled up, an empty array gives an empty text."""
+    width = F.array_max(F.transform(rows, F.size))
+
+    def table(width: Column) -> Column:
+        def line(cells: Column) -> Column:
+            filled = F.concat(F.transform(cells, markdown_cell), F.array_repeat(F.lit(""), width - F.size(cells)))
+            return F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))
+
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+        body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
+        return F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), body), "\n")
+
+    return F.when(F.size(rows) > 0, let(width, table)).otherwise("")

@@ -14,9 +14,10 @@ SUFFIXES = {
     "docling": [".docx", ".pptx", ".xlsx", ".csv", ".tsv", ".html", ".htm", ".eml", ".msg"],
     "qwen-asr": [".wav", ".mp3", ".flac", ".m4a", ".ogg"],
 }
-ENGINES = tuple(SUFFIXES)
+#: The last one is never routed to, only named.
+ENGINES = (*SUFFIXES, "stdlib")
 #: Options that each engine takes.
-OPTIONS = {"mineru": {"tier"}, "docling": set(), "paddleocr": {"device"}, "qwen-asr": {"device", "timestamps"}}
+OPTIONS = {"mineru": {"tier"}, "docling": set(), "stdlib": set(), "paddleocr": {"device"}, "qwen-asr": {"device", "timestamps"}}
 TIERS = ("standard", "advanced")
 
 

@@ -25,6 +25,7 @@ BLOCKS = f"array<{BLOCK}>"
 ENGINE_FIELDS = {
     "mineru": ["kind", "text", "page", "raw"],
     "docling": ["kind", "text", "depth", "page", "provenance", "reference"],
+    "stdlib": ["kind", "text", "depth", "page", "provenance", "reference"],
     "paddleocr": ["kind", "text", "page", "bbox", "raw"],
     "qwen-asr": ["kind", "text", "language", "start", "end", "words"],
 }

@@ -87,18 +87,64 @@ def audio_engine(device: str | None = None, timestamps: bool = True) -> Parse:
     return lambda data, name: _on_disk(data, name, work)
 
 
+def _suffix(name: str) -> str:
+    head, dot, tail = name.rpartition(".")
+    return f".{tail.lower()}" if head and dot and tail else ""
+
+
+def _plain(value) -> str:
+    """An enumeration's value, or the string of anything else."""
+    return str(getattr(value, "value", value))
+
+
 def office_engine() -> Parse:
-    from quillmill.sources.parsers import parse_office
+    from docling.document_converter import DocumentConverter
+
+    from quillmill.sources.parsers import tsv_to_csv
+
+    converter = DocumentConverter()
 
-    def suffix(name: str) -> str:
-        head, dot, tail = name.rpartition(".")
-        return f".{tail.lower()}" if head and dot and tail else ""
+    def entry(item, depth: int, document) -> dict:
+        label = _plain(item.label)
+        own = {"label": label, "text": getattr(item, "text", ""), "depth": depth, "self_ref": item.self_ref}
+        own["prov"] = [p.model_dump(mode="json") for p in getattr(item, "prov", None) or ()]
+        if label == "table":
+            own["markdown"] = item.export_to_markdown(doc=document)
+        elif label == "picture":
+            own["caption"] = item.caption_text(document)
+        return own
+
+    def work(path: Path, out: Path) -> tuple[str, str | None]:
+        if _suffix(path.name) == ".tsv":
+            comma = out / "converted-input.csv"
+            comma.write_bytes(tsv_to_csv(path.read_bytes()))
+            path = comma
+        result = converter.convert(str(path))
+        raw: dict = {"status": _plain(result.status), "items": []}
+        if raw["status"] != "success":
+            raise RuntimeError(f"conversion status: {raw['status']}; {getattr(result, 'errors', '')}")
+        raw["items"] = [entry(item, depth, result.document) for item, depth in result.document.iterate_items()]
+        raw["document"] = result.document.export_to_dict()
+        return json.dumps(raw, ensure_ascii=False), result.document.export_to_markdown()
+
+    return lambda data, name: _on_disk(data, name, work)
+
+
+def stdlib_engine() -> Parse:
+    """The office formats by the standard library alone: an engine of its own, used where it is named."""
+    from quillmill.sources.parsers import parse_office
 
-    return lambda data, name: parse_office(data, suffix(name))
+    return lambda data, name: parse_office(data, _suffix(name))
 
 
 #: Engine name -> function of its options that builds the adapter; more can be registered.
-ADAPTERS: dict[str, Callable[..., Parse]] = {"mineru": pdf_engine, "docling": office_engine, "paddleocr": image_engine, "qwen-asr": audio_engine}
+ADAPTERS: dict[str, Callable[..., Parse]] = {
+    "mineru": pdf_engine,
+    "docling": office_engine,
+    "paddleocr": image_engine,
+    "qwen-asr": audio_engine,
+    "stdlib": stdlib_engine,
+}
 
 
 def register(engine: str, build: Callable[..., Parse]) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,17 @@ def routed(files: DataFrame, engine: str = "auto") -> DataFrame:
     return files.select("path", name.alias("name"), F.sha2(identity, 256).alias("doc_id"), choose_engine(name, engine).alias("engine"), "content")
 
 
-def parse(files: DataFrame, options: dict | None = None, quarantine: bool = False) -> DataFrame:
-    """RAW rows of routed files. An adapter is built once a partition and engine, and its failure fails the job unless quarantine is set."""
+def gpu_profile(gpus: float = 1, cores: int = 1) -> ResourceProfile:
+    """Resources of a task that runs an engine on a GPU; the cluster manager must support stage-level scheduling."""
+    needs = TaskResourceRequests().cpus(cores).resource("gpu", gpus)
+    return ResourceProfileBuilder().require(needs).build
+
+
+def parse(files: DataFrame, options: dict | None = None, quarantine: bool = False, profile: ResourceProfile | None = None) -> DataFrame:
+    """RAW rows of routed files. An adapter is built once a partition and engine, and its failure fails the job unless quarantine is set.
+
+    profile: resources of the tasks that run the engines, and of no others.
+    """
     options = options or {}
     builders: dict[str, Callable] = dict(ADAPTERS)
 
@@ -60,7 +70,7 @@ def parse(files: DataFrame, options: dict | None = None, quarantine: bool = Fals
                     rows.append((r.doc_id, r.path, r.engine, None, None, f"{type(e).__name__}: {e}", []))
             yield pd.DataFrame(rows, columns=["doc_id", "source", "engine", "raw", "markdown", "error", "assets"], dtype="object")
 
-    return files.filter(F.col("engine").isNotNull()).select("doc_id", "path", "name", "engine", "content").mapInPandas(run, RAW)
+    return files.filter(F.col("engine").isNotNull()).select("doc_id", "path", "name", "engine", "content").mapInPandas(run, RAW, profile=profile)
 
 
 def read_table(spark: SparkSession, path: str | list[str], suffix: str = ".csv", header: bool = True) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import shutil
+import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from quillmill.functions.text import output_name
 from quillmill.plans.routing import file_name
@@ -48,48 +48,76 @@ def _opened(block: dict, engine: str) -> dict:
     return own
 
 
+def _files_of(r, folder: str) -> dict[str, bytes]:
+    """Relative names and contents of a document's folder."""
+    as_json = lambda value: json.dumps(value, ensure_ascii=False, indent=2).encode()
+    blocks = [_opened(b, r.engine) for b in json.loads(r.blocks)]
+    chunks = [_opened(c, r.engine) | {"text": c["text"], "source": r.source} | {k: c[k] for k in CHUNK_POSITION[1:]} for c in json.loads(r.chunks)]
+    raw = json.loads(r.raw)
+    if r.engine == "qwen-asr":
+        raw = {"transcripts": [x["text"] for x in raw["results"]], "segments": blocks}
+    elif r.engine == "docling":
+        raw = raw.get("document", raw)
+    document = {"source": r.source, "engine": r.engine, "output_dir": folder, "markdown": r.markdown, "blocks": blocks, "chunks": chunks}
+    own = {asset["name"]: asset["content"] for asset in (r.assets if r.assets is not None else ())}
+    return own | {"document.md": (r.markdown or "").encode(), "document.json": as_json(document), "chunks.json": as_json(chunks), "engine.json": as_json(raw)}
+
+
+def _same(system, folder: str, files: dict[str, bytes]) -> bool:
+    """Whether the folder holds these files with these bytes."""
+    for name, content in files.items():
+        if system.get_file_info(f"{folder}/{name}").type.name != "File":
+            return False
+        with system.open_input_stream(f"{folder}/{name}") as f:
+            if f.read() != content:
+                return False
+    return True
+
+
+def _put(system, root: str, name: str, files: dict[str, bytes]) -> None:
+    """Fill a folder under another name and move it into place, or raise FileExistsError if another one is there."""
+    folder, aside = f"{root}/{name}", f"{root}/_{name}-{uuid.uuid4().hex}"
+    for path, content in files.items():
+        system.create_dir(f"{aside}/{path}".rpartition("/")[0], recursive=True)
+        with system.open_output_stream(f"{aside}/{path}") as f:
+            f.write(content)
+    try:
+        if system.get_file_info(folder).type.name != "NotFound":
+            raise FileExistsError(folder)
+        system.move(aside, folder)
+    except OSError:
+        # an earlier attempt of this task, or an equal run, may have put the same folder there
+        system.delete_dir(aside)
+        if not _same(system, folder, files):
+            raise FileExistsError(folder) from None
+
+
 def write_files(parsed, out: str) -> DataFrame:
     """document.md, document.json, chunks.json, engine.json and the engine's own files in a folder for each document, below a
-    folder that all executors share; returns doc_id and folder. A folder is filled under another name and
-    then renamed, so a failed task leaves no half document and a repeated one finds its own. A folder with
-    other content is an error. For as many documents as one file system is to list; write_tables has no such bound.
+    path that the driver and all executors reach (a mounted one, or a URI that pyarrow opens: hdfs, s3, gs, abfs); returns doc_id and folder.
+
+    A folder is filled under another name and then moved, so a failed task leaves no half document and a
+    repeated one finds its own. A folder with other content is an error. For as many documents as one file
+    system is to list; write_tables has no such bound. The result is kept on the executors, not on the driver.
     """
-    root = Path(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = _system(out)
         for batch in batches:
-            rows = []
             for r in batch.itertuples(index=False):
-                folder, aside = root / r.folder, root / f"_{r.folder}-{uuid.uuid4().hex}"
-                aside.mkdir(parents=True)
-                for asset in r.assets if r.assets is not None else ():
-                    (aside / asset["name"]).parent.mkdir(parents=True, exist_ok=True)
-                    (aside / asset["name"]).write_bytes(asset["content"])
-                blocks = [_opened(b, r.engine) for b in json.loads(r.blocks)]
-                chunks = []
-                for c in json.loads(r.chunks):
-                    chunks.append(_opened(c, r.engine) | {"text": c["text"], "source": r.source} | {k: c[k] for k in CHUNK_POSITION[1:]})
-                document = {"source": r.source, "engine": r.engine, "output_dir": str(folder), "markdown": r.markdown, "blocks": blocks, "chunks": chunks}
-                write = lambda name, value: (aside / name).write_text(json.dumps(value, ensure_ascii=False, indent=2), "utf-8")
-                (aside / "document.md").write_text(r.markdown or "", "utf-8")
-                write("document.json", document)
-                write("chunks.json", chunks)
-                raw = json.loads(r.raw)
-                if r.engine == "qwen-asr":
-                    raw = {"transcripts": [x["text"] for x in raw["results"]], "segments": blocks}
-                write("engine.json", raw)
-                try:
-                    aside.rename(folder)
-                except OSError:
-                    # an earlier attempt of this task, or an equal run, has put the same folder there
-                    same = folder.is_dir() and all((folder / p.name).is_file() and (folder / p.name).read_bytes() == p.read_bytes() for p in aside.iterdir() if p.is_file())
-                    shutil.rmtree(aside)
-                    if not same:
-                        raise FileExistsError(folder) from None
-                rows.append((r.doc_id, str(folder)))
-            yield pd.DataFrame(rows, columns=["doc_id", "folder"])
+                _put(system, root, r.folder, _files_of(r, f"{out.rstrip('/')}/{r.folder}"))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "folder": out.rstrip("/") + "/" + batch["folder"]})
 
     nested = parsed.nested
-    flat = nested.select("doc_id", "source", "engine", "raw", "markdown", "assets", to_json(F.col("blocks")).alias("blocks"), to_json(F.col("chunks")).alias("chunks"), output_name(file_name(F.col("source")), F.col("doc_id")).alias("folder"))
-    done = flat.mapInPandas(run, "doc_id string, folder string")
-    return done.sparkSession.createDataFrame(done.collect(), "doc_id string, folder string")
+    folder = output_name(file_name(F.col("source")), F.col("doc_id"))
+    flat = nested.select("doc_id", "source", "engine", "raw", "markdown", "assets", to_json(F.col("blocks")).alias("blocks"), to_json(F.col("chunks")).alias("chunks"), folder.alias("folder"))
+    done = flat.mapInPandas(run, "doc_id string, folder string").persist(StorageLevel.DISK_ONLY)
+    done.count()
+    return done
+
+
+def _system(path: str):
+    """pyarrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else os.path.abspath(path))

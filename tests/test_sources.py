@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 import quillmill
 from quillmill import api
 from quillmill.sources import adapters, files, parsers, sinks
-from quillmill.streaming.files import stream_chunks, write_chunks
+from quillmill.streaming.files import stream_chunks, stream_documents, write_chunks
 
 HTML = """<!DOCTYPE html><html><head><title>A title</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><!-- no -->
 <h1>Head</h1><p>One &amp; <b>two</b></p><ul><li>first</li><li>second</li></ul><table><tr><th>k</th><th>v</th></tr><tr><td>a|b</td><td>1</td></tr></table><img src="x" alt="seen"><footer>End</footer></body></html>"""
@@ -46,7 +46,7 @@ def folder(tmp_path):
 
 
 def test_offline_formats(spark, folder):
-    parsed = quillmill.parse_documents(spark, str(folder), chunk_size=20, overlap=5)
+    parsed = quillmill.parse_documents(spark, str(folder), engine="stdlib", chunk_size=20, overlap=5)
     by: dict = {}
     for r in parsed.blocks.orderBy("source", "block_id").collect():
         by.setdefault(r.source.rsplit("/", 1)[1], []).append((r.kind, r.text, r.page))
@@ -88,31 +88,127 @@ def test_checks_in_order(spark, folder, tmp_path):
     (tmp_path / "void.csv").write_bytes(b"")
     with pytest.raises(ValueError):
         quillmill.parse_documents(spark, [str(tmp_path / "void.csv")])
-    parsed = quillmill.parse_documents(spark, str(folder), strict=False)
-    assert [r.path.rsplit("/", 1)[1] for r in parsed.rejected.collect()] == ["x.doc"]
-    errors = {r.source.rsplit("/", 1)[1]: r.error for r in parsed.raw.collect() if r.error}
-    assert set(errors) == {"x.pdf"} and errors["x.pdf"].startswith("ModuleNotFoundError")
-    parsed.release()
+    adapters.register("docling", adapters.stdlib_engine)
+    try:
+        parsed = quillmill.parse_documents(spark, str(folder), strict=False)
+        assert [r.path.rsplit("/", 1)[1] for r in parsed.rejected.collect()] == ["x.doc"]
+        errors = {r.source.rsplit("/", 1)[1]: r.error for r in parsed.raw.collect() if r.error}
+        assert set(errors) == {"x.pdf"} and errors["x.pdf"].startswith("ModuleNotFoundError")
+        parsed.release()
+    finally:
+        adapters.register("docling", adapters.office_engine)
     with pytest.raises(PySparkException):
         quillmill.parse_documents(spark, [str(folder / "x.pdf")]).raw.count()
+    with pytest.raises(PySparkException):  # the office engine isn't installed, and no other one takes its place
+        quillmill.parse_documents(spark, [str(folder / "t.csv")]).raw.count()
+
+
+GOOD = {"mineru": {"pages": [{"blocks": [{"content": "good"}]}]}, "paddleocr": [{"parsing_res_list": [{"block_content": "good"}]}], "docling": {"status": "success", "items": [{"label": "text", "text": "good"}]}, "qwen-asr": {"timestamps": True, "results": [{"text": "good", "time_stamps": [{"text": "good", "start_time": 0.0, "end_time": 1.0}]}]}}
+FAILING = {"mineru": {"pages": []}, "paddleocr": [{"parsing_res_list": []}], "docling": {"status": "partial_success", "items": []}, "qwen-asr": {"timestamps": True, "results": [{"text": "bare", "time_stamps": []}]}}
+REASONS = {"mineru": "no blocks", "paddleocr": "no blocks", "docling": "partial_success", "qwen-asr": "word stamps"}
+NAMES = {"mineru": "pdf", "paddleocr": "png", "docling": "html", "qwen-asr": "wav"}
+
+
+@pytest.fixture
+def canned(tmp_path):
+    """A good file of each engine, one that fails at the engine's gate, and one whose raw output isn't JSON."""
+    before = dict(adapters.ADAPTERS)
+    for engine, suffix in NAMES.items():
+        documents = {"good": json.dumps(GOOD[engine]), "gate": json.dumps(FAILING[engine]), "junk": "{not json"}
+        for kind in documents:
+            (tmp_path / f"{kind}.{suffix}").write_bytes(b"x")
+        adapters.register(engine, lambda documents=documents, **_: lambda data, name: (documents[name.split(".")[0]], None))
+    yield tmp_path
+    adapters.ADAPTERS.update(before)
+
+
+def test_gates_are_quarantined(spark, canned):
+    parsed = quillmill.parse_documents(spark, str(canned), strict=False)
+    errors = {r.source.rsplit("/", 1)[1]: r.error for r in parsed.raw.collect()}
+    for engine, suffix in NAMES.items():
+        assert errors[f"good.{suffix}"] is None and REASONS[engine] in errors[f"gate.{suffix}"] and errors[f"junk.{suffix}"]
+    assert [(b.text, b.source.rsplit("/", 1)[1].split(".")[0]) for b in parsed.blocks.collect()] == [("good", "good")] * 4
+    assert parsed.chunks.count() == 4 and parsed.documents.count() == 4 and parsed.nested.count() == 4
+    parsed.release()
+    for suffix in NAMES.values():
+        for kind in ("gate", "junk"):
+            with pytest.raises(PySparkException):
+                quillmill.parse_documents(spark, [str(canned / f"{kind}.{suffix}")]).blocks.collect()
+
+
+def test_a_stream_outlives_failing_files(spark, canned, tmp_path):
+    chunks = stream_chunks(spark, str(canned))
+    write_chunks(chunks, str(tmp_path / "sink"), str(tmp_path / "check")).awaitTermination()
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "sink")).collect()] == ["good"] * 4
+    documents = stream_documents(spark, str(canned)).select("source", "error").writeStream.format("parquet").option("path", str(tmp_path / "all")).option("checkpointLocation", str(tmp_path / "c2"))
+    documents.trigger(availableNow=True).start().awaitTermination()
+    assert {r.source.rsplit("/", 1)[1].split(".")[0] for r in spark.read.parquet(str(tmp_path / "all")).filter("error IS NOT NULL").collect()} == {"gate", "junk"}
+
+
+def test_results_are_written_where_the_cluster_says(spark, canned, tmp_path, monkeypatch):
+    monkeypatch.setattr(api, "_shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    parsed = quillmill.parse_documents(spark, [str(canned / "good.pdf")])
+    assert parsed.kept_at.startswith(f"file://{tmp_path}/shared/") and parsed.chunks.count() == 1
+    parsed.release()
+    assert not any((tmp_path / "shared").glob("quillmill*"))
+
+
+def test_office_adapter_follows_the_engine(monkeypatch):
+    """The installed engine's interface, by a stand-in module of the same shape."""
+    import sys
+    from enum import Enum
+    from types import ModuleType, SimpleNamespace
+
+    class Label(Enum):
+        TABLE = "table"
+        PICTURE = "picture"
+
+    class Converter:
+        def convert(self, path):
+            read = open(path).read()
+            prov = [SimpleNamespace(model_dump=lambda mode: {"page_no": 2})]
+            items = [
+                (SimpleNamespace(label="text", text=read, self_ref="#/texts/0", prov=prov), 1),
+                (SimpleNamespace(label=Label.TABLE, self_ref="#/tables/0", export_to_markdown=lambda doc: "| t |"), 2),
+                (SimpleNamespace(label=Label.PICTURE, text="", self_ref="#/pictures/0", prov=[], caption_text=lambda doc: ""), 1),
+            ]
+            document = SimpleNamespace(iterate_items=lambda: iter(items), export_to_dict=lambda: {"whole": True}, export_to_markdown=lambda: "md")
+            return SimpleNamespace(status=SimpleNamespace(value="failure" if "bad" in path else "success"), errors=["why"], document=document)
+
+    module = ModuleType("docling.document_converter")
+    module.DocumentConverter = Converter
+    monkeypatch.setitem(sys.modules, "docling", ModuleType("docling"))
+    monkeypatch.setitem(sys.modules, "docling.document_converter", module)
+    parse = adapters.office_engine()
+    raw, markdown, assets = parse(b"a\t\"b,c\"\n", "x.TSV")
+    got = json.loads(raw)
+    assert markdown == "md" and got["document"] == {"whole": True} and [n for n, _ in assets] == ["converted-input.csv"]
+    assert got["items"][0] | {} == {"label": "text", "text": 'a,"b,c"\n', "depth": 1, "self_ref": "#/texts/0", "prov": [{"page_no": 2}]}
+    assert got["items"][1]["label"] == "table" and got["items"][1]["markdown"] == "| t |" and got["items"][2]["caption"] == ""
+    with pytest.raises(RuntimeError, match="failure"):
+        parse(b"x", "bad.html")
 
 
 def test_single_file_and_presets(spark, folder, tmp_path):
-    got = quillmill.parse_document(str(folder / "page.html"), output_dir=str(tmp_path / "out"), chunk_size=5, overlap=1)
+    got = quillmill.parse_document(str(folder / "page.html"), engine="stdlib", output_dir=str(tmp_path / "out"), chunk_size=5, overlap=1)
     out = tmp_path / "out"
-    assert got.output_dir.startswith(str(out / "page-")) and got.engine == "docling"
+    assert got.output_dir.startswith(str(out / "page-")) and got.engine == "stdlib"
     assert sorted(p.name for p in next(out.iterdir()).iterdir()) == ["chunks.json", "document.json", "document.md", "engine.json"]
     assert [c["chunk_id"] for c in got.chunks] == list(range(len(got.chunks)))
     assert set(got.blocks[0]) == {"kind", "text", "depth", "page", "provenance", "reference"} and got.blocks[0]["page"] is None
     assert api.preview(got, 5) == (got.markdown[:5], got.chunks[:3])
-    again = quillmill.parse_document(str(folder / "page.html"), output_dir=str(out), chunk_size=5, overlap=1)
+    again = quillmill.parse_document(str(folder / "page.html"), engine="stdlib", output_dir=str(out), chunk_size=5, overlap=1)
     assert again == got and len(list(out.iterdir())) == 1
     with pytest.raises(FileExistsError):
         try:
-            quillmill.parse_document(str(folder / "page.html"), output_dir=str(out))
+            quillmill.parse_document(str(folder / "page.html"), engine="stdlib", output_dir=str(out))
         except PySparkException as e:
             raise FileExistsError from e if "FileExists" in str(e) else None
-    chunks = quillmill.extract_and_chunk("html", str(folder / "page.html"), output_dir=str(tmp_path / "two"), chunk_size=25, overlap=0)
+    adapters.register("docling", adapters.stdlib_engine)
+    try:
+        chunks = quillmill.extract_and_chunk("html", str(folder / "page.html"), output_dir=str(tmp_path / "two"), chunk_size=25, overlap=0)
+    finally:
+        adapters.register("docling", adapters.office_engine)
     assert chunks and {"source", "block_id", "char_start", "char_end", "chunk_id", "text"} <= set(chunks[0])
     with pytest.raises(TypeError):
         quillmill.extract("html", str(folder / "page.html"), engine="mineru")
@@ -142,19 +238,19 @@ def test_registered_engine_and_sinks(spark, tmp_path):
 
 def test_stream(spark, folder, tmp_path):
     (folder / "bad.pdf").write_bytes(b"x")
-    chunks = stream_chunks(spark, str(folder), chunk_size=20, overlap=5)
+    chunks = stream_chunks(spark, str(folder), engine="stdlib", chunk_size=20, overlap=5)
     write_chunks(chunks, str(tmp_path / "sink"), str(tmp_path / "check")).awaitTermination()
     first = spark.read.parquet(str(tmp_path / "sink")).count()
     assert first > 10
     (folder / "more.html").write_text("<p>more</p>")
-    write_chunks(stream_chunks(spark, str(folder), chunk_size=20, overlap=5), str(tmp_path / "sink"), str(tmp_path / "check")).awaitTermination()
+    write_chunks(stream_chunks(spark, str(folder), engine="stdlib", chunk_size=20, overlap=5), str(tmp_path / "sink"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "sink")).count() == first + 1
 
 
 def test_cli(spark, folder, tmp_path, capsys):
     from quillmill.__main__ import main
 
-    main([str(folder / "t.csv"), "--output-dir", str(tmp_path / "o")])
+    main([str(folder / "t.csv"), "--engine", "stdlib", "--output-dir", str(tmp_path / "o")])
     assert capsys.readouterr().out.strip().startswith(str(tmp_path / "o" / "t-"))
     with pytest.raises(TypeError):
         main([str(folder / "t.csv"), "--tier", "standard", "--output-dir", str(tmp_path / "o")])
