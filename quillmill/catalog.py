@@ -16,7 +16,7 @@ from quillmill.operators.chunks import chunk_blocks, chunk_documents, chunk_text
 from quillmill.operators.segments import passages
 from quillmill.plans import normalise, routing
 from quillmill.schema import WORD
-from quillmill.sources import sinks
+from quillmill.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -233,17 +233,24 @@ def content_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     kind = (F.col("event_id") % 8).cast("int")
     n = F.col("event_id").cast("string")
+    props = F.col("props")
     docs = [
-        F.concat(F.lit('"s'), n, F.lit('"')), F.concat(F.lit("["), n, F.lit(',null,"x"]')), F.concat(F.lit('{"html":"h","text":'), n, F.lit("}")), F.concat(F.lit('{"text":null,"html":"'), n, F.lit('"}')),
-        F.concat(F.lit('{"latex":"l","table_body":["a",{"content":"'), n, F.lit('"}]}')), F.concat(F.lit('{"z":1.10,"a":['), n, F.lit("]}")), F.lit("true"), F.lit("null"),
-    ]
+        F.concat(F.lit('"s'), n, F.lit('"')),
+        F.concat(F.lit("["), props, F.lit(',null,"x"]')),
+        F.concat(F.lit('{"html":"h","text":'), props, F.lit("}")),
+        F.concat(F.lit('{"text":null,"html":"'), n, F.lit('"}')),
+        F.concat(F.lit('{"latex":"l","table_body":["a",{"content":'), props, F.lit("}]}")),
+        F.concat(F.lit('{"z":1.10,"a":['), props, F.lit("]}")),
+        F.concat(F.lit('{"content":['), n, F.lit(",true]}")),
+        F.lit("null"),
+    ]
     document = F.coalesce(*[F.when(kind == i, d) for i, d in enumerate(docs)])
     return events.select("event_id", T.content_text(document).alias("text"))
 
 
 _CONTENT_SQL = """
-SELECT event_id, CASE event_id % 8 WHEN 0 THEN 's' || event_id WHEN 1 THEN event_id || chr(10) || chr(10) || 'x' WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN ''
-  WHEN 4 THEN 'a' || chr(10) || event_id WHEN 5 THEN '{"z": 1.1, "a": [' || event_id || ']}' WHEN 6 THEN 'True' ELSE '' END AS text
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 's' || event_id WHEN 1 THEN props || chr(10) || chr(10) || 'x' WHEN 2 THEN props WHEN 3 THEN ''
+  WHEN 4 THEN 'a' || chr(10) || props WHEN 5 THEN '{"z": 1.1, "a": [' || props || ']}' WHEN 6 THEN event_id || chr(10) || 'True' ELSE '' END AS text
 FROM events
 """
 
@@ -267,23 +274,53 @@ FROM w GROUP BY conv_id, turn, i // 60
 """
 
 
+def segment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as words without length at irregular times, in passages of six hours."""
+    events = _table(spark, sf_dir, "events")
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / F.lit(1e6)
+    timed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "event_id", "event_type"))).alias("e"))
+    words = F.transform("e", lambda e: F.struct(e["event_type"].alias("text"), e["at"].alias("start"), e["at"].alias("end")))
+    each = timed.select("user_id", F.posexplode(passages(words, F.lit(None).cast("string"), 21_600.0)).alias("segment", "p"))
+    return each.select("user_id", F.col("segment").cast("bigint").alias("segment"), "p.text", F.col("p.start").alias("t_start"), F.col("p.end").alias("t_end"), F.size("p.words").cast("bigint").alias("n_words"))
+
+
+_EVENTS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS secs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), g AS (
+  SELECT user_id, i, secs, event_type, secs AS origin, 0::BIGINT AS segment FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.i, e.secs, e.event_type, CASE WHEN e.secs - origin > 21600 THEN e.secs ELSE origin END, segment + CASE WHEN e.secs - origin > 21600 THEN 1 ELSE 0 END
+  FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1
+)
+SELECT user_id, segment, string_agg(event_type, ' ' ORDER BY i) AS text, min(secs) AS t_start, max(secs) AS t_end, count(*) AS n_words FROM g GROUP BY user_id, segment
+"""
+
+
 def normalise_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation as audio results: its assistant turns have stamps of one word a second, other turns are blank or come without stamps."""
+    """A conversation as audio results: words of a second in its assistant's turns, of 31 seconds in its user's, of
+    ten seconds in the others; a blank result without stamps ends it."""
     turns = _table(spark, sf_dir, "conversations")
-    stamp = lambda w, i: F.struct(w.alias("text"), i.cast("double").alias("start_time"), (i + 1).cast("double").alias("end_time"))
-    result = F.struct(F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit("  ")).alias("text"), F.col("role").alias("language"), F.when(F.col("role") == "assistant", F.transform(F.split("text", r"\s+"), stamp)).alias("time_stamps"))
+    seconds = F.when(F.col("role") == "assistant", 1.0).when(F.col("role") == "user", 31.0).otherwise(10.0)
+    stamp = lambda w, i: F.struct(w.alias("text"), (i * seconds).alias("start_time"), ((i + 1) * seconds).alias("end_time"))
+    result = F.struct("text", F.col("role").alias("language"), F.transform(F.split("text", r"\s+"), stamp).alias("time_stamps"))
     calls = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", result.alias("r")))).alias("p"))
-    raw = F.to_json(F.struct(F.lit(True).alias("timestamps"), F.transform("p", lambda x: x["r"]).alias("results")))
+    spoken = F.transform("p", lambda x: x["r"])
+    blank = F.struct(F.lit("  ").alias("text"), F.lit("none").alias("language"), F.slice(F.get(spoken, F.lit(0))["time_stamps"], 1, 0).alias("time_stamps"))
+    raw = F.to_json(F.struct(F.lit(True).alias("timestamps"), F.concat(spoken, F.array(blank)).alias("results")))
     found = _flat(_raw(calls, "qwen-asr", raw, "conv_id"), "kind", "text", "language", "start", "end", "words")
-    return found.select("doc_id", "block_id", "kind", "text", "language", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.size(F.coalesce("words", F.array().cast(f"array<{WORD}>"))).cast("bigint").alias("n_words"))
+    n_words = F.size(F.coalesce("words", F.array().cast(f"array<{WORD}>"))).cast("bigint")
+    return found.select("doc_id", "block_id", "kind", "text", "language", F.col("start").alias("t_start"), F.col("end").alias("t_end"), n_words.alias("n_words"))
 
 
 _TRANSCRIPT_SQL = r"""
 WITH w AS (
-  SELECT conv_id, turn, role, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS i FROM conversations WHERE role = 'assistant'
+  SELECT conv_id, turn, role, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS i,
+    CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 31 ELSE 10 END AS s, CASE role WHEN 'assistant' THEN 30 WHEN 'user' THEN 1 ELSE 3 END AS most
+  FROM conversations
 ), s AS (
-  SELECT conv_id, turn, role, i // 30 AS g, string_agg(word, ' ' ORDER BY i) AS text, min(i)::DOUBLE AS t_start, max(i)::DOUBLE + 1 AS t_end, count(*) AS n FROM w GROUP BY ALL
-  UNION ALL SELECT conv_id, turn, role, 0, '  ', NULL, NULL, 0 FROM conversations WHERE role <> 'assistant'
+  SELECT conv_id, turn, role, i // most AS g, string_agg(word, ' ' ORDER BY i) AS text, min(i * s)::DOUBLE AS t_start, max((i + 1) * s)::DOUBLE AS t_end, count(*) AS n FROM w GROUP BY conv_id, turn, role, g
+  UNION ALL SELECT DISTINCT conv_id, 1000000, 'none', 0, '  ', NULL::DOUBLE, NULL::DOUBLE, 0 FROM conversations
 )
 SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, g) - 1 AS block_id, 'transcript' AS kind, text, role AS language, t_start, t_end, n AS n_words FROM s
 """
@@ -363,14 +400,33 @@ def _html_sql() -> str:
     return f"SELECT page_id, {text} AS text FROM pages"
 
 
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the offline parser of web files: title, headings, and the words of all blocks in order."""
+    pages = _table(spark, sf_dir, "pages")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    found = pages.select(F.col("page_id").cast("string").alias("doc_id"), name.alias("path"), name.alias("name"), F.lit("stdlib").alias("engine"), F.col("html").cast("binary").alias("content"))
+    parsed = normalise.normalise(files.parse(found))
+    of_kind = lambda kind: F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == kind), lambda b: b["text"]), " ")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
+    return parsed.select(F.col("doc_id").cast("bigint").alias("page_id"), of_kind("title").alias("title"), of_kind("section_header").alias("headings"), text.alias("text"))
+
+
+def _web_sql() -> str:
+    words = lambda x: f"trim(regexp_replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+    bare = r"regexp_replace(html, '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>', '', 'g')"
+    spaced = rf"regexp_replace(regexp_replace({bare}, '(?i)</?(b|a|meta)\b[^>]*>', '', 'g'), '<[^>]*>', ' ', 'g')"
+    inner = lambda tag: rf"array_to_string(list_transform(regexp_extract_all({bare}, '(?is)<{tag}>(.*?)</{tag}>', 1), lambda t: {words(chr(116))}), ' ')"
+    return f"SELECT page_id, {inner('title')} AS title, {inner('h1')} AS headings, {words(spaced)} AS text FROM pages"
+
+
 def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record as JSON that keeps nulls, and its folder's name."""
     docs = _table(spark, sf_dir, "documents")
-    value = F.struct("doc_id", F.lit(None).cast("bigint").alias("page"), F.col("lang"))
+    value = F.struct("doc_id", F.lit(None).cast("bigint").alias("page"), "lang", "text")
     return docs.select("doc_id", sinks.to_json(value).alias("json"), T.output_name(F.lit("a.b.pdf"), F.col("doc_id").cast("string")).alias("folder"))
 
 
-_JSON_SQL = """SELECT doc_id, '{"doc_id":' || doc_id || ',"page":null,"lang":"' || lang || '"}' AS json, 'a.b-' || substr(sha256(doc_id::VARCHAR), 1, 12) AS folder FROM documents"""
+_JSON_SQL = """SELECT doc_id, '{"doc_id":' || doc_id || ',"page":null,"lang":"' || lang || '","text":' || to_json(text) || '}' AS json, 'a.b-' || substr(sha256(doc_id::VARCHAR), 1, 12) AS folder FROM documents"""
 
 _ALL: dict[str, tuple[Query, str]] = {
     "chunk_documents": (_chunked(1200, 150), _chunked_sql(1200, 150)),
@@ -389,10 +445,12 @@ _ALL: dict[str, tuple[Query, str]] = {
     "normalise_transcripts": (normalise_transcripts, _TRANSCRIPT_SQL),
     "content_coercion": (content_coercion, _CONTENT_SQL),
     "segment_words": (segment_words, _WORDS_SQL),
+    "segment_events": (segment_events, _EVENTS_SQL),
     "document_assembly": (document_assembly, _ASSEMBLY_SQL),
     "markdown_join": (markdown_join, _MARKDOWN_SQL),
     "table_markdown": (table_markdown, _TABLE_SQL),
     "html_text": (html_text, _html_sql()),
+    "web_pages": (web_pages, _web_sql()),
     "documents_json": (documents_json, _JSON_SQL),
 }
 
