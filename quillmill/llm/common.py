@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,37 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsettle(*frames: DataFrame) -> None:
+    """Delete what settle() has written for frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            if folder.rpartition("/")[2].startswith("quillmill-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores put before it as tell it apart from all others, whatever their case."""
+    used, found = {name.lower() for name in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Rows of one long column that may be broadcast: about 100 MB as a hash relation.
+BROADCAST_ROWS = 1_000_000
+
+
+def measured_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows; otherwise as it is, for a join that shuffles. df must be settled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no label may be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

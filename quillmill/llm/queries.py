@@ -53,7 +53,8 @@ def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = shards.ingest(table(spark, sf_dir, "documents")).read_with_shards()
-    return stored.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("__shard").alias("shard"), F.col("__version").alias("version"))
+    shard, version = stored.columns[-2:]
+    return stored.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(shard).alias("shard"), F.col(version).alias("version"))
 
 
 OP1_SQL = r"""

@@ -17,11 +17,11 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import scratch_path
+from quillmill.llm.common import free_names, scratch_path
 
 TARGET_BYTES = 128 << 20
 BASE_BYTES = 1 << 20
@@ -32,6 +32,19 @@ ARRIVALS = 8
 ROW_GROUP_BYTES = 32 << 20
 
 
+#: Versions that vacuum leaves readable, the last one included.
+KEEP = 3
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _file_of(stored: DataFrame) -> Column:
+    """Folder and name of the file that a row is read from."""
+    return F.regexp_extract(stored.metadataColumn("_metadata")["file_path"], r"([^/]+/[^/]+)$", 1)
+
+
 class ManifestConflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -70,8 +83,8 @@ class ShardStore:
         """Adds the number of rows of each file; files without a row are left out."""
         if not files:
             return []
-        name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-        rows = {r.name: r.n for r in self._read_files(files, schema).groupBy(name.alias("name")).agg(F.count("*").alias("n")).collect()}
+        stored = self._read_files(files, schema)
+        rows = {r.name: r.n for r in stored.groupBy(_file_of(stored).alias("name")).agg(F.count("*").alias("n")).collect()}
         tail = lambda f: "/".join(f["file"].split("/")[-2:])
         return [f | {"rows": rows[tail(f)]} for f in files if tail(f) in rows]
 
@@ -124,12 +137,13 @@ class ShardStore:
     def append_arrivals(self, df: DataFrame, arrival=None, commit: bool = True) -> list:
         """Write df once and append it arrival by arrival (a column; nulls last): one version, or one list of shards if not commit, each."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        writer = (df.withColumn("__arrival", F.lit(0) if arrival is None else arrival)).write.partitionBy("__arrival")
+        (lot,) = free_names(df.columns, "arrival")
+        writer = df.withColumn(lot, F.lit(0) if arrival is None else arrival).write.partitionBy(lot)
         writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
         files = self._counted(self._files(folder), df.schema)
         batches: dict[str, list[dict]] = {}
         for f in files:
-            batches.setdefault(f["file"].split("__arrival=")[-1].split("/")[0], []).append(f)
+            batches.setdefault(f["file"].split("/")[-2].removeprefix(f"{lot}="), []).append(f)
         order = sorted(batches, key=lambda k: (k == "__HIVE_DEFAULT_PARTITION__", int(k) if k.lstrip("-").isdigit() else 0, k))
         groups = [batches[k] for k in order] or [[]]
         return [self.add(df.schema, g) for g in groups] if commit else groups
@@ -192,17 +206,20 @@ class ShardStore:
         return self._read_files(now["shards"], T.StructType.fromJson(json.loads(now["schema"])))
 
     def read_with_shards(self, version: int | None = None) -> DataFrame:
-        """All rows of a version with __shard, the number of the shard in the manifest, and __version.
+        """All rows of a version with two columns behind their own: the number of the shard in the manifest, and the version.
 
-        The numbers are broadcast: two values a shard, of which the driver holds the list anyway. Rows aren't shuffled.
+        They are called __shard and __version, with underscores put before them where a column has that name
+        already. The numbers are broadcast: two values a shard, of which the driver holds the list anyway. Rows aren't shuffled.
         """
         now = self.manifest(version)
+        rows = self.read(version)
+        tail, shard, number = free_names(rows.columns, "__tail", "__shard", "__version")
         tails = ["/".join(s["file"].split("/")[-2:]) for s in now["shards"]]
-        places = self.spark.createDataFrame(list(zip(tails, range(len(tails)))), "__tail string, __shard long")
-        tail = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-        return self.read(version).withColumn("__tail", tail).join(F.broadcast(places), "__tail", "left").drop("__tail").withColumn("__version", F.lit(now["version"]).cast("long"))
+        places = self.spark.createDataFrame(list(zip(tails, range(len(tails)))), T.StructType().add(tail, "string").add(shard, "long"))
+        placed = rows.withColumn(tail, _file_of(rows)).join(F.broadcast(places), tail, "left")
+        return placed.select(*[_quoted(c) for c in (*rows.columns, shard)], F.lit(now["version"]).cast("long").alias(number))
 
-    def vacuum(self, keep: int = 1, pending: list[dict] = ()) -> int:
+    def vacuum(self, keep: int = KEEP, pending: list[dict] = ()) -> int:
         """Delete data files that neither the last ``keep`` versions nor ``pending`` (written, not yet committed) name; how many.
 
         Not to be run beside another writer: what that has written and not committed would go.
@@ -215,11 +232,12 @@ class ShardStore:
         return len(gone)
 
 
-def ingest(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, compact_every: int = 4, id_col: str = "doc_id", **options) -> ShardStore:
+def ingest(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, compact_every: int = 4, id_col: str = "doc_id", keep: int = KEEP, **options) -> ShardStore:
     """Append docs in ``arrivals`` lots, by a hash of the id, and compact after every few lots.
 
-    The store holds docs with all columns and rows as they are, nulls, repeated rows and names that end
-    up beside ``__shard`` included; an empty table gives a version without shards.
+    The store holds docs with all columns and rows as they are, nulls, repeated rows and any column names
+    included; an empty table gives a version without shards. The last ``keep`` versions stay readable, for
+    readers that hold one. Without a root the store is scratch: it lies in the shared folder, in a local session only until its end.
     """
     store = ShardStore(docs.sparkSession, root or scratch_path(docs.sparkSession, "shards"), **options)
     lot = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(arrivals))
@@ -228,7 +246,7 @@ def ingest(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, c
         store.add(docs.schema, shards)
         if (k + 1) % compact_every == 0:
             store.compact()
-            store.vacuum(pending=[s for later in lots[k + 1 :] for s in later])
+            store.vacuum(keep, pending=[s for later in lots[k + 1 :] for s in later])
     store.compact()
-    store.vacuum()
+    store.vacuum(keep)
     return store

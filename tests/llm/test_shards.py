@@ -67,7 +67,31 @@ def test_ingest_keeps_all_rows(spark, tmp_path):
     df = spark.createDataFrame(data, SCHEMA)
     store = ingest(df, str(tmp_path / "s"), target_bytes=40_000, base_bytes=1_000, min_runs=3)
     assert content(store.read()) == sorted(data, key=repr)
-    with_shards = ingest(df.drop("__shard"), str(tmp_path / "t"), min_runs=3).read_with_shards()
-    assert with_shards.count() == len(data) and with_shards.filter("__shard IS NULL").count() == 0
+    with_shards = store.read_with_shards()
+    assert with_shards.columns == ["doc_id", "text", "__shard", "version", "___shard", "__version"]
+    got = [tuple(r) for r in with_shards.collect()]
+    assert sorted((r[:4] for r in got), key=repr) == sorted(data, key=repr)
+    assert {r[4] for r in got} == set(range(len(store.manifest()["shards"]))) and {r[5] for r in got} == {store.version()}
     empty = ingest(df.limit(0), str(tmp_path / "e"))
     assert empty.read().collect() == [] and empty.version() == 1
+
+
+CLASHING = "doc_id long, Arrival string, __tail string, __Shard int, __version string, `a.b` string, _metadata string"
+
+
+def test_any_column_name_is_kept(spark, tmp_path):
+    data = [(i, f"a{i}", f"t{i}", i, f"v{i}", f"d{i}", f"m{i}") for i in range(40)]
+    store = ingest(spark.createDataFrame(data, CLASHING), str(tmp_path / "s"), min_runs=2)
+    assert content(store.read()) == sorted(data, key=repr)
+    got = store.read_with_shards()
+    assert got.columns[-2:] == ["___shard", "___version"]
+    assert sorted((tuple(r)[:7] for r in got.collect()), key=repr) == sorted(data, key=repr)
+
+
+def test_held_versions_stay_readable(spark, tmp_path):
+    data = rows(400)
+    store = ingest(spark.createDataFrame(data, SCHEMA), str(tmp_path / "s"), target_bytes=40_000, base_bytes=1_000, min_runs=3, keep=2)
+    now = store.version()
+    assert content(store.read(now)) == content(spark.createDataFrame(data, SCHEMA))
+    assert store.read(now - 1).count() == len(data)
+    assert store.vacuum(1) > 0 and content(store.read()) == sorted(data, key=repr)
