@@ -43,18 +43,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to shared storage and read it back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
 
 
-def unsettle(*frames: DataFrame) -> None:
+def unsettle(*settled: DataFrame) -> None:
     """Delete what settle() has written for frames that nothing reads any more."""
-    for df in frames:
+    for df in settled:
         spark = df.sparkSession
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for folder in folders:
-            if folder.rpartition("/")[2].startswith("quillmill-"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -82,9 +81,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def hashed_share(column: Column) -> Column:
-    """A number in [0, 1) that depends on the value alone; used to draw bounded, repeatable samples."""
-    return (F.xxhash64(F.lit("sample"), column.cast("string")).bitwiseAND(F.lit(0xFFFFFFFF))) / F.lit(float(2**32))
+def hashed_share(*columns: Column) -> Column:
+    """A number in [0, 1) that depends on the values alone; used to draw bounded, repeatable samples. Null with a null among them."""
+    parts = [c.cast("string") for c in columns]
+    known = F.lit(True)
+    for part in parts:
+        known = known & part.isNotNull()
+    share = F.xxhash64(F.lit("sample"), *parts).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(2**32))
+    return F.when(known, share)
 
 
 class HashTable:
