@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -42,20 +43,22 @@ class PlainTree:
 TEXTS = {"xx": ["abra cadabra", "the then there"], "yy": ["ñandú über", "été brûlé the"], "zz": ["zzzz"]}
 
 
-def model(texts):
+def model(texts, **options):
     counts = {}
     for language, own in texts.items():
         keys, n = np.unique(langid._windows(own)[0], return_counts=True)
         counts[language] = (keys, n)
-    return Model(counts)
+    return Model(counts, **options)
 
 
 def test_code_lengths_are_exact():
-    own, plain = model(TEXTS), {k: PlainTree(v) for k, v in TEXTS.items()}
+    plain = {k: PlainTree(v) for k, v in TEXTS.items()}
     rng = random.Random(1)
     samples = ["", "a", "the", "THE", "été", "\U0001f600!", "q" * 50]
     samples += ["".join(rng.choice("abcdethñü \n€") for _ in range(rng.randrange(60))) for _ in range(60)]
-    for cells in (langid.CELLS, 30):  # also in pieces
+    for cells, dense in itertools.product((langid.CELLS, 30), (0, langid.DENSE_CELLS)):  # also in pieces, and row by row
+        own = model(TEXTS, dense_cells=dense)
+        assert own.dense == bool(dense)
         old, langid.CELLS = langid.CELLS, cells
         try:
             bits, sizes = own.bits(samples)
@@ -133,3 +136,29 @@ def test_production_trees_are_whole(spark):
         assert got == pytest.approx([plain[k].bits(t) for k in own.languages], rel=1e-4, abs=1e-3)
     by = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
     assert by[2000] == by[2001] == "xx"
+
+
+def test_rows_without_an_id_teach_nothing(spark):
+    data = corpus() + [(None, "dzi\u0119ki bardzo", "pl")] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert "pl" not in langid.train(df).languages
+    assert {r.lang_pred for r in langid.identify(df).collect()} <= {"en", "de", "es"}
+
+
+def test_repeats_do_not_enlarge_the_sample(spark):
+    """One id with many texts, and one row many times: the sample is drawn row by row, and equal rows count once."""
+    rows = [(7, f"the house number {i} with other things", "en") for i in range(400)] + [(11, "the very same thing", "en")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, whole = langid.train(df, docs_per_language=100), langid.train(df)
+    assert 0 < len(few.levels[4].windows) < len(whole.levels[4].windows)
+    once = langid.train(df.distinct())
+    assert np.array_equal(whole.levels[4].matrix[0], once.levels[4].matrix[0])
+
+
+def test_texts_in_no_language_go_at_any_length(spark):
+    data = corpus() + [(3000 + n, "\u4e16\u754c\u548c\u5e73" * n, "en" if n == 99 else None) for n in (4, 15, 60)] + [(4000, "zzq", None), (4001, "the house", None), (4002, None, None), (4003, "12", None)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, lang string, P string")
+    kept = langid.with_language(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in corpus()} | {4000, 4001}
+    assert langid.with_language(df.limit(0)).collect() == []

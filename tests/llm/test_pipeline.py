@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quillmill.llm import langid, simhash, toxicity
+from quillmill.llm import simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,8 +23,8 @@ def sf_dir(spark, tmp_path_factory):
             words[40:40] = item.split()
         rows.append((i, " ".join(words)))
     rows += [(500 + k, rows[2][1]) for k in range(3)] + [(2, rows[2][1]), (None, "window river house"), (600, None), (601, "123 456"), (602, "")]
-    docs = [(i, t, "en", "src", len(t or ""), "extra") for i, t in rows]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, __fate string").drop("__fate").write.parquet(f"{root}/documents.parquet")
+    docs = [(i, t, "en", "src", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     return str(root), rows, item
@@ -63,7 +63,25 @@ def test_empty_documents(spark, sf_dir):
         assert stage(spark, nothing, root).collect() == []
 
 
-def test_texts_in_no_language_go(spark, sf_dir):
-    model = langid.train(spark.read.parquet(f"{sf_dir[0]}/documents.parquet"))
-    noise = "".join(chr(0x4E00 + random.Random(1).getrandbits(12) + i % 7) for i in range(300))
-    assert model.predict([noise])[2][0] > 8 and toxicity.word_features("a")
+def test_repeated_ids_and_clashing_names(spark, sf_dir):
+    """Rows of one id with texts of different groups are decided one by one; no helper column meets one of the table's."""
+    root = sf_dir[0]
+    names = ["__fate", "__p", "P", "__score", "fp", "Head", "stays", "repeated", "key", "__fp"]
+    a, b, c, d = ("river window garden house " * 12 + w * 3 for w in ("letter ", "people ", "summer ", "paper "))
+    b, c, d = "table morning book " + b[::-1], "under where water " + c.upper() * 2, " ".join(sorted(d.split()))
+    near = b + " "
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, c), (4, d), (None, "one and other thing"), (None, c), (4, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    assert len({simhash.fingerprint(t) for t in (a, b, c, d)}) == 4
+    stage = dict(corpus_pipeline.STAGES)
+    got = stage["near_duplicates"](spark, df, root)
+    assert got.columns == df.columns
+    expected = [(1, a), (2, b), (4, c), (4, d), (None, "one and other thing")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+    by = {tuple(r)[:2]: tuple(r)[5:] for r in got.collect()}
+    assert by[2, b] == tuple(f"{n}2" for n in names) and by[4, c] == tuple(f"{n}4" for n in names)
+    assert by[4, d] == tuple(f"{n}5" for n in names)  # of equal rows the one whose JSON sorts first
+    for name in ("language", "toxicity", "decontamination"):
+        left = stage[name](spark, df, root)
+        assert left.columns == df.columns
+        assert {tuple(r)[5:] for r in left.collect()} <= {tuple(f"{n}{k}" for n in names) for k in range(len(rows))}
