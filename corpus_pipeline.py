@@ -3,11 +3,10 @@
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents.
 
-1. language: documents without a language (``und``), or of at least ``REJECT_BYTES`` bytes that every
-   language's tree codes worse than their plain bytes, go.
+1. language: documents without a language (``und``), or in none of the learned ones by their code length, go.
 2. toxicity: documents with a score of 0.5 or more go.
-3. near_duplicates: of each SimHash component the document with the smallest id stays; of equal
-   rows of that id one stays. Documents without an id can't be told apart and all stay.
+3. near_duplicates: of each SimHash component the row with the smallest id stays (null last), whatever
+   other rows have that id; of rows equal in id and fingerprint one stays.
 4. decontamination: documents that contain a benchmark item go.
 5. segmentation: the N-best segmentations of what is left.
 """
@@ -25,28 +24,16 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = langid.predict_column(langid.train(docs), docs, F.col("text"))
-    coded_badly = (F.octet_length("text") >= langid.REJECT_BYTES) & (F.col("__p.bits_per_byte") > 8)
-    kept = docs.withColumn("__p", verdict).filter((F.col("__p.lang_pred") != langid.UNDETERMINED) & ~coded_badly)
-    return kept.drop("__p")
+    return langid.with_language(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__score", toxicity.score_column(scorer, docs, F.col("text"))).filter("__score < 0.5").drop("__score")
+    return docs.filter(toxicity.score_column(scorer, docs, F.col("text")) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = settle(simhash.near_duplicate_groups(docs.select("doc_id", "text")), "pipeline-groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.lit("gone").alias("__fate")).distinct()
-    repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit("once").alias("__fate"))
-    # one join, on ids that are nearly unique
-    left = docs.join(gone.unionAll(repeated), "doc_id", "left").filter("__fate IS NULL OR __fate = 'once'")
-    if not repeated.limit(1).count():
-        return left.select(docs.columns)
-    left = settle(left, "pipeline-repeated")
-    once = left.filter("__fate = 'once'").dropDuplicates(["doc_id"])
-    return left.filter("__fate IS NULL").unionAll(once).select(docs.columns)
+    return simhash.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
