@@ -10,9 +10,11 @@ the length of a token or spaced-out run, whatever that is. Tokens without such s
 are left alone.
 
 The restored text is scored by logistic regression over the presence of character n-grams of words
-and of whole words, so an unseen inflection of a known stem still counts. The n-grams are selected
-by their log-likelihood ratio. Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0,
-in a bounded, repeatable sample of about ``DOCS_PER_CLASS`` documents of each class.
+and of whole words, so an unseen inflection of a known stem still counts. An n-gram is a feature if its
+log-likelihood ratio exceeds the logarithm of the number of labelled documents, the Bayesian information
+criterion for one more parameter, so the bar falls and rises with the labels there are; how many pass is
+bounded by the sample, not by a number. Labels are learned only from rows whose crc32(doc_id) mod 5 is not
+0, 0, in a bounded
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import hashed_share, held_out, settle
 
 DOCS_PER_CLASS = 3000
-MIN_DOCS = 4
-MIN_RATIO = 15.0
-MAX_FEATURES = 20_000
+#: Toxic documents of the sample that a feature must be seen in.
+MIN_DOCS = 3
 RIDGE = 0.1
 _MEMO = 200_000
 #: Longer tokens are decoded, and longer words looked up, like all others, but not remembered.
@@ -261,8 +262,8 @@ def _select(counts: DataFrame, toxic: int, clean: int) -> list[str]:
     both = F.col("toxic") + F.col("clean")
     term = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
     ratio = 2 * (term(F.col("toxic"), both * rate) + term(F.col("clean"), both * (1 - rate)))
-    found = counts.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") > both * rate)).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
-    return [r.feature for r in found.orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES).select("feature").collect()]
+    telling = (F.col("toxic") >= MIN_DOCS) & (F.col("toxic") > both * rate) & (ratio > math.log(toxic + clean))
+    return sorted(r.feature for r in counts.filter(telling).select("feature").collect())
 
 
 def _fit(rows: list[tuple[list[int], int, float]], width: int, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -290,14 +291,23 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
     """Character model from all texts, weights from a bounded sample of the labels that may be learned."""
     spark = docs.sparkSession
     costs = language_model(docs, text_col)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id", "toxic"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id", "toxic"])
     number = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(number) < 2:
         return Scorer(costs, {}, 20.0 if number.get(1) else -20.0)
     share = F.when(F.col("toxic") == 1, min(1.0, docs_per_class / number[1])).otherwise(min(1.0, docs_per_class / number[0]))
     # about two classes of docs_per_class ids, whatever the input: bounded, so it may be broadcast
-    sample = known.filter(hashed_share(F.col("doc_id")) < share)
-    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
+    ids = F.broadcast(known.filter(hashed_share(F.col("doc_id")) < share))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
+    # an id may have many rows: they are counted without their texts, then thinned by id and text
+    count = {r.toxic: r["count"] for r in named.groupBy("toxic").count().collect()}
+    if len(count) < 2:
+        return Scorer(costs, {}, 20.0 if number.get(1, 0) > number.get(0, 0) else -20.0)
+    thin = F.when(F.col("toxic") == 1, 2 * docs_per_class / count[1]).otherwise(2 * docs_per_class / count[0])
+    drawn = named.filter(hashed_share(F.col("doc_id"), F.coalesce("text", F.lit(""))) < thin)
+    # repeated rows are folded before the shuffle
+    rows = settle(drawn.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic").distinct().select("text", "toxic"), "toxic-sample")
     size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return Scorer(costs, {}, 20.0 if number.get(1, 0) > number.get(0, 0) else -20.0)

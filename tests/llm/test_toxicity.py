@@ -134,3 +134,23 @@ def test_other_characters_do_not_stop_the_decoder(spark):
     more = spark.createDataFrame([(4000 + i, f"the garden {t} window", "en", 0.0, 3) for i, t in enumerate(noisy)], docs.schema)
     got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs.union(more), labels).collect()}
     assert [got[4000 + i] for i in range(len(noisy))] == [1] * len(noisy)
+
+
+def test_a_repeated_id_or_row_does_not_rule(spark):
+    """A third of all rows are one clean row, and one id has many toxic texts: bounded by rows, and still learned."""
+    rows = texts()
+    docs, labels = frames(spark, rows)
+    learned = next(i for i, _, x in rows if not x and zlib.crc32(str(i).encode()) % 5)
+    many = [(learned, rows[learned][1])] * 400 + [(9000, f"idiot of the river {i}") for i in range(300)]
+    assert zlib.crc32(b"9000") % 5
+    more = docs.union(spark.createDataFrame([(i, t, "en", 0.0, 3) for i, t in many], docs.schema))
+    marked = labels.union(spark.createDataFrame([(9000, 1, 1)], labels.schema))
+    scorer = toxicity.train(more, marked, docs_per_class=60)
+    assert scorer.weights and scorer.score("the garden 1d10t") > 0.5 > scorer.score("the garden window")
+
+
+def test_few_labels_teach_too(spark):
+    rows = texts(60, seed=8)
+    got = toxicity.score_documents(*frames(spark, rows)).collect()
+    truth = {i: x for i, _, x in rows}
+    assert sum(r.predicted == truth[r.doc_id] for r in got) >= 57
