@@ -1,15 +1,15 @@
 """Quality rules from tokeniser fertility.
 
-Method. Public vocabularies measure every text: characters per token, the share of tokens that are
-single fallback bytes, and the entropy of the token distribution as a share of the largest that a
-text of so many tokens can have. A piece vocabulary never joins across white space, so the pieces
-of a text are those of its words; a bounded memo of words saves encoding them again, and the words
-that are new in a batch are encoded together.
+Method. Public vocabularies, one of pieces and one of byte sequences, measure every text: characters per
+token, the share of tokens that are fallback bytes (single bytes of a character that has no token), and
+the entropy of the token distribution as a share of the largest that a text of so many tokens can have.
+Neither vocabulary joins across white space, so the tokens of a text are those of its words, each with
+the space before it; a bounded memo of words saves encoding them again.
 
 Rejection bands are set per language (or per script where the language is null) from all texts that
-pass the base rules: for each measure, the quartiles widened by ``BAND_WIDTH`` interquartile ranges
-and by a fixed slack. The quartiles come from counts of rounded measures, so they don't depend on the order of rows. A text is kept if
-it passes the base rules and all its measures lie in the bands.
+pass the base rules: for each measure of each vocabulary, the quartiles widened by ``BAND_WIDTH``
+interquartile ranges and by a fixed slack. The quartiles come from counts of rounded measures, so they
+don't depend on the order of rows. A text is kept if it passes the base rules and all its measures lie in the bands.
 """
 
 from __future__ import annotations
@@ -23,20 +23,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import settle
+from quillmill.llm.edit_counts import counter
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Files of a piece vocabulary and of a byte-sequence one.
+VOCABULARIES = ("/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 BAND_WIDTH = 2.5
 #: Measures, the steps in which they are counted, and the least slack of their bands.
-MEASURES = {"chars_per_token": (0.01, 0.0), "byte_share": (0.001, 0.03), "entropy_share": (0.001, 0.05)}
+MEASURES = {
+    "chars_per_token": (0.01, 0.0), "byte_share": (0.001, 0.03), "entropy_share": (0.001, 0.05),
+    "seq_chars_per_token": (0.01, 0.0), "seq_byte_share": (0.001, 0.03), "seq_entropy_share": (0.001, 0.05),
+}
 _MEMO = 200_000
 _WHITE = " \t\n\x0b\x0c\r"
 
 MEASURE_FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy_share double, script string"
+    "n_tokens long, chars_per_token double, byte_share double, entropy_share double, "
+    "seq_tokens long, seq_chars_per_token double, seq_byte_share double, seq_entropy_share double, script string"
 )
 
 # First code points of the ranges in which a script's letters lie.
@@ -91,8 +97,8 @@ def script_of(text: str) -> str:
     return min(by, key=lambda k: (-by[k], k))
 
 
-class Vocabulary:
-    """A sentencepiece vocabulary with a bounded memo: word -> ids of its pieces."""
+class PieceVocabulary:
+    """A sentencepiece vocabulary; a piece that opens with the space sign begins a word."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -101,7 +107,39 @@ class Vocabulary:
         n = self.model.vocab_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
         self.opens = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(n)])
-        self.memo: dict[bytes, np.ndarray] = {}
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Words go in one call; where its cuts can't be told for certain, they go one by one."""
+        ids = np.array(self.model.encode(" ".join(words)), np.int32)
+        cuts = np.flatnonzero(self.opens[ids])
+        # a word may only be cut at its own start: no other space sign, and no word whose pieces open nowhere
+        plain = len(cuts) == len(words) and not any("▁" in w or not w.strip() for w in words)
+        found = np.split(ids, cuts[1:]) if plain else []
+        if found and self.model.decode([x.tolist() for x in found]) == words:
+            return found
+        return [np.array(x, np.int32) for x in self.model.encode(words)]
+
+
+class ByteVocabulary:
+    """A byte-sequence vocabulary. Pre-tokens never reach over the space before a word, so words are encoded one by one."""
+
+    def __init__(self, path: str):
+        self.encoding = counter(path).encoding
+        size = self.encoding.n_vocab
+        self.is_byte = np.zeros(size, bool)
+        for b in range(0x80, 0x100):
+            self.is_byte[self.encoding.encode_single_token(bytes([b]))] = True
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(self.encoding.encode_ordinary(f" {w}"), np.int32) for w in words]
+
+
+class Vocabularies:
+    """The vocabularies with one bounded memo: word -> its ids in each."""
+
+    def __init__(self, paths: tuple[str, ...] = VOCABULARIES):
+        self.own = [PieceVocabulary(p) if p.endswith(".model") else ByteVocabulary(p) for p in paths]
+        self.memo: dict[bytes, tuple[np.ndarray, ...]] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.memo) > _MEMO:
@@ -110,42 +148,43 @@ class Vocabulary:
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
             plain = [w.decode("utf-8", "replace") for w in part]
-            # words are encoded in one call; a piece that opens with the space sign begins the next word
-            ids = np.array(self.model.encode(" ".join(plain)), np.int32)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(part) and not any("▁" in p for p in plain):
-                self.memo.update(zip(part, np.split(ids, cuts[1:])))
-            else:
-                self.memo.update((w, np.array(self.model.encode(p), np.int32)) for w, p in zip(part, plain))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
+            self.memo.update(zip(part, zip(*(v.encode(plain) for v in self.own))))
+
+    def ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of the words in each vocabulary."""
         self.learn(set(words))
-        return np.concatenate([self.memo[w] for w in words]) if words else np.zeros(0, np.int32)
+        if not words:
+            return [np.zeros(0, np.int32) for _ in self.own]
+        return [np.concatenate(found) for found in zip(*map(self.memo.__getitem__, words))]
 
 
-def measure(text: str | None, vocabulary: Vocabulary) -> tuple:
-    words, counts = base_counts(text)
-    ids = vocabulary.ids(words)
+def fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple:
+    """Tokens, characters per token, byte share and entropy share."""
     n = len(ids)
     if not n:
-        return (*counts, 0, None, None, None, script_of(text or ""))
-    seen = np.unique(ids, return_counts=True)[1] if n < 20_000 else np.bincount(ids)
+        return 0, None, None, None
+    seen = np.bincount(ids) if n >= 2_000 else np.unique(ids, return_counts=True)[1]
     seen = seen[seen > 0] / n
     entropy = float(-(seen * np.log2(seen)).sum())
-    top = float(np.log2(min(n, len(vocabulary.is_byte))))
-    return (*counts, n, counts[1] / n, float(vocabulary.is_byte[ids].mean()), entropy / top if top else 1.0, script_of(text or ""))
+    top = float(np.log2(min(n, len(is_byte))))
+    return n, chars / n, float(is_byte[ids].mean()), entropy / top if top else 1.0
+
+
+def measure(text: str | None, vocabularies: Vocabularies) -> tuple:
+    """The values of MEASURE_FIELDS."""
+    words, counts = base_counts(text)
+    found = [fertility(ids, counts[1], v.is_byte) for ids, v in zip(vocabularies.ids(words), vocabularies.own)]
+    return (*counts, *found[0], *found[1], script_of(text or ""))
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_held: dict[tuple[str, ...], Vocabularies] = {}
 
 
-def measure_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
+def measure_column(text: Column, vocabularies: tuple[str, str] = VOCABULARIES) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = _vocabularies.get(vocabulary) or _vocabularies.setdefault(vocabulary, Vocabulary(vocabulary))
-        names = [f.split()[0] for f in MEASURE_FIELDS.split(", ")]
+        own = _held.get(vocabularies) or _held.setdefault(vocabularies, Vocabularies(vocabularies))
         for batch in texts:
-            rows = [measure(t, held) for t in batch]
-            yield pd.DataFrame({name: pd.Series([r[k] for r in rows], dtype="object" if k > 5 else "int64") for k, name in enumerate(names)})
+            yield pd.DataFrame([measure(t, own) for t in batch], columns=[f.split()[0] for f in MEASURE_FIELDS.split(", ")], dtype="object")
 
     return F.pandas_udf(run, MEASURE_FIELDS).asNondeterministic()(text)
 
@@ -184,23 +223,25 @@ def bands(measured: DataFrame, width: float = BAND_WIDTH) -> dict[str, dict[str,
     return out
 
 
-def judge(docs: DataFrame, vocabulary: str = VOCABULARY, width: float = BAND_WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: doc_id, the base counts, base_failed, kept, then the three measures and the band's name.
+def judge(docs: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES, width: float = BAND_WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs: doc_id, the base counts, base_failed, kept, then the measures of both vocabularies and the band's name.
 
     A null text has no words, like an empty one: it fails the base rules, and its measures are null.
     Repeated rows stay and count each time in the bands; a null doc_id is returned as null. Other
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), measure_column(F.col(text_col), vocabulary).alias("m"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), measure_column(F.col(text_col), vocabularies).alias("m"))
     measured = rows.select("doc_id", "m.*", base_failed(F.col("m.n_words"), F.col("m.n_repeat_words")).alias("base_failed"), F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "m.script")).alias("band"))
     measured = settle(measured, "fertility")
-    inside = F.lit(True)
-    limits = bands(measured, width)
-    for m in MEASURES:
-        low = F.create_map(*[F.lit(x) for b in sorted(limits) for x in (b, limits[b][m][0])]) if limits else None
-        high = F.create_map(*[F.lit(x) for b in sorted(limits) for x in (b, limits[b][m][1])]) if limits else None
-        if limits:
-            # a band that no text has set rejects nothing, and no text of it has passed the base rules
-            inside = inside & F.coalesce((F.col(m) >= low[F.col("band")]) & (F.col(m) <= high[F.col("band")]), F.lit(True))
-    kept = ~F.col("base_failed") & inside
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_tokens", "chars_per_token", "byte_share", "entropy_share", "band")
+    kept = ~F.col("base_failed") & inside(bands(measured, width))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return measured.select("doc_id", *base, "base_failed", kept.alias("kept"), "n_tokens", "seq_tokens", *MEASURES, "band")
+
+
+def inside(limits: dict[str, dict[str, tuple[float, float]]]) -> Column:
+    """Whether all measures of a row lie in the limits of its band; a band that no text has set rejects nothing."""
+    found = F.lit(True)
+    for m in MEASURES if limits else ():
+        low, high = (F.create_map(*[F.lit(x) for b in sorted(limits) for x in (b, limits[b][m][k])])[F.col("band")] for k in (0, 1))
+        found = found & F.coalesce((F.col(m) >= low) & (F.col(m) <= high), F.lit(True))
+    return found

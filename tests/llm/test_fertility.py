@@ -29,24 +29,48 @@ def test_base_counts():
         assert fertility.base_counts(text)[1] == plain_base(text), repr(text)
 
 
-def test_tokens_are_those_of_the_library():
-    own = fertility.Vocabulary(fertility.VOCABULARY)
+def check_measures(got, ids, chars, is_byte, size):
+    if not ids:
+        assert got == (0, None, None, None)
+        return
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+    top = math.log2(min(len(ids), size))
+    assert got[0] == len(ids) and got[1] == pytest.approx(chars / len(ids))
+    assert got[2] == pytest.approx(sum(map(is_byte, ids)) / len(ids)) and got[3] == pytest.approx(entropy / top if top else 1.0)
+
+
+def test_tokens_are_those_of_the_libraries():
+    own = fertility.Vocabularies()
+    piece, byte = own.own
+    single = {i for b in range(0x80, 0x100) for i in byte.encoding.encode_ordinary(bytes([b]).decode("latin-1")) if byte.encoding.decode_single_token_bytes(i) == bytes([b])}
     for text in samples():
         words = (text or "").encode().split()
         plain = [w.decode() for w in words]
-        expected = [i for w in plain for i in own.model.encode(w)]
-        assert own.ids(words).tolist() == expected
-        n, chars, *_ = plain_base(text)
+        pieces = [i for w in plain for i in piece.model.encode(w)]
+        # the whole text at once, its words a space apart
+        sequences = byte.encoding.encode_ordinary(" " + " ".join(plain)) if plain else []
+        assert [x.tolist() for x in own.ids(words)] == [pieces, sequences], repr(text)
+        chars = plain_base(text)[1]
         m = fertility.measure(text, own)
-        if expected:
-            seen = Counter(expected)
-            entropy = -sum(c / len(expected) * math.log2(c / len(expected)) for c in seen.values())
-            top = math.log2(min(len(expected), own.model.vocab_size()))
-            assert m[5] == len(expected) and m[6] == pytest.approx(chars / len(expected))
-            assert m[7] == pytest.approx(sum(map(own.model.is_byte, expected)) / len(expected))
-            assert m[8] == pytest.approx(entropy / top if top else 1.0)
-        else:
-            assert m[5:9] == (0, None, None, None)
+        check_measures(m[5:9], pieces, chars, piece.model.is_byte, piece.model.vocab_size())
+        check_measures(m[9:13], sequences, chars, lambda i: len(byte.encoding.decode_single_token_bytes(i)) == 1 and byte.encoding.decode_single_token_bytes(i)[0] >= 0x80, byte.encoding.n_vocab)
+    assert single <= set(range(byte.encoding.n_vocab))
+
+
+def plain_kept(rows):
+    """kept by its definition: quartiles of rounded measures by band, over all rows that pass the base rules."""
+    out = {}
+    for k, r in enumerate(rows):
+        good = not r.base_failed
+        for m, (step, slack) in fertility.MEASURES.items():
+            own = sorted(math.floor(x[m] / step) for x in rows if x.band == r.band and not x.base_failed and x[m] is not None)
+            if not own or r[m] is None:
+                continue
+            q1, q3 = (own[math.ceil(q * len(own)) - 1] * step for q in (0.25, 0.75))
+            reach = fertility.BAND_WIDTH * (q3 - q1) + slack
+            good = good and q1 - reach <= r[m] <= q3 + step + reach
+        out[k] = good
+    return out
 
 
 def test_script():
@@ -77,9 +101,18 @@ def test_table(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeated)
         assert r.base_failed == (n < 50 or 100 * repeated > 50 * n)
         assert not (r.base_failed and r.kept)
+    assert {k: r.kept for k, r in enumerate(got)} == plain_kept(got)
     by = {r.doc_id: r for r in got}
     assert sum(by[i].kept for i in range(80)) >= 76 and by[None].kept == by[0].kept and by[106].kept
     assert not any(by[i].kept for i in range(100, 106))
     assert not by[100].base_failed and not by[101].base_failed and by[101].byte_share > 0.3
     assert by[106].band == "script:latin" and by[0].band == "lang:en"
     assert fertility.judge(df.limit(0)).collect() == []
+
+
+def test_very_long_texts_and_words():
+    own = fertility.Vocabularies()
+    words = ["house " * 100_000, "x" * 200_000, "日" * 50_000]
+    for text in words:
+        got = fertility.measure(text, own)
+        assert got[0] == len(text.split()) and got[1] == len(text.replace(" ", "")) and got[5] > 0 and got[9] > 0
