@@ -104,42 +104,53 @@ class PieceVocabulary:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.vocab_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
-        self.opens = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(n)])
-
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words go in one call; where its cuts can't be told for certain, they go one by one."""
-        ids = np.array(self.model.encode(" ".join(words)), np.int32)
-        cuts = np.flatnonzero(self.opens[ids])
-        # a word may only be cut at its own start: no other space sign, and no word whose pieces open nowhere
-        plain = len(cuts) == len(words) and not any("▁" in w or not w.strip() for w in words)
-        found = np.split(ids, cuts[1:]) if plain else []
-        if found and self.model.decode([x.tolist() for x in found]) == words:
-            return found
-        return [np.array(x, np.int32) for x in self.model.encode(words)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(len(pieces))])
+        self.opens = np.array([p.startswith("▁") for p in pieces])
+        self.size = np.array([1 if byte else len(p.replace("▁", " ").encode()) for p, byte in zip(pieces, self.is_byte)])
+
+    def together(self, words: list[str]) -> list[int]:
+        return self.model.encode(" ".join(words))
+
+    def one(self, word: str) -> list[int]:
+        return self.model.encode(word)
 
 
 class ByteVocabulary:
-    """A byte-sequence vocabulary. Pre-tokens never reach over the space before a word, so words are encoded one by one."""
+    """A byte-sequence vocabulary; as words hold no space, a token that opens with one begins a word."""
 
     def __init__(self, path: str):
         self.encoding = counter(path).encoding
-        size = self.encoding.n_vocab
-        self.is_byte = np.zeros(size, bool)
-        for b in range(0x80, 0x100):
-            self.is_byte[self.encoding.encode_single_token(bytes([b]))] = True
+        tokens = [self.encoding.decode_single_token_bytes(i) for i in range(self.encoding.n_vocab)]
+        self.is_byte = np.array([len(t) == 1 and t[0] >= 0x80 for t in tokens])
+        self.opens = np.array([t.startswith(b" ") for t in tokens])
+        self.size = np.array(list(map(len, tokens)))
+
+    def together(self, words: list[str]) -> list[int]:
+        return self.encoding.encode_ordinary(" " + " ".join(words))
+
+    def one(self, word: str) -> list[int]:
+        return self.encoding.encode_ordinary(f" {word}")
+
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(self.encoding.encode_ordinary(f" {w}"), np.int32) for w in words]
+def encode_words(vocabulary: PieceVocabulary | ByteVocabulary, words: list[str]) -> list[bytes]:
+    """Ids of each word, as packed int32. All words are encoded in one call and cut where tokens begin a word; if the
+    tokens of a cut aren't as long as its word and the space before it, the words are encoded one by one."""
+    ids = np.array(vocabulary.together(words), np.int32)
+    cuts = np.flatnonzero(vocabulary.opens[ids])
+    if len(cuts) == len(words):
+        lengths = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+        if cuts[0] == 0 and (np.add.reduceat(vocabulary.size[ids], cuts) == lengths).all():
+            return [ids[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)])]
+    return [np.array(vocabulary.one(w), np.int32).tobytes() for w in words]
 
 
 class Vocabularies:
-    """The vocabularies with one bounded memo: word -> its ids in each."""
+    """The vocabularies with one bounded memo: word -> its ids in each, packed."""
 
     def __init__(self, paths: tuple[str, ...] = VOCABULARIES):
         self.own = [PieceVocabulary(p) if p.endswith(".model") else ByteVocabulary(p) for p in paths]
-        self.memo: dict[bytes, tuple[np.ndarray, ...]] = {}
+        self.memo: dict[bytes, tuple[bytes, ...]] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.memo) > _MEMO:
@@ -148,14 +159,13 @@ class Vocabularies:
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
             plain = [w.decode("utf-8", "replace") for w in part]
-            self.memo.update(zip(part, zip(*(v.encode(plain) for v in self.own))))
+            self.memo.update(zip(part, zip(*(encode_words(v, plain) for v in self.own))))
 
     def ids(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of the words in each vocabulary."""
         self.learn(set(words))
-        if not words:
-            return [np.zeros(0, np.int32) for _ in self.own]
-        return [np.concatenate(found) for found in zip(*map(self.memo.__getitem__, words))]
+        found = [self.memo[w] for w in words]
+        return [np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in range(len(self.own))]
 
 
 def fertility(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple:

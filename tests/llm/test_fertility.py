@@ -42,7 +42,6 @@ def check_measures(got, ids, chars, is_byte, size):
 def test_tokens_are_those_of_the_libraries():
     own = fertility.Vocabularies()
     piece, byte = own.own
-    single = {i for b in range(0x80, 0x100) for i in byte.encoding.encode_ordinary(bytes([b]).decode("latin-1")) if byte.encoding.decode_single_token_bytes(i) == bytes([b])}
     for text in samples():
         words = (text or "").encode().split()
         plain = [w.decode() for w in words]
@@ -54,7 +53,6 @@ def test_tokens_are_those_of_the_libraries():
         m = fertility.measure(text, own)
         check_measures(m[5:9], pieces, chars, piece.model.is_byte, piece.model.vocab_size())
         check_measures(m[9:13], sequences, chars, lambda i: len(byte.encoding.decode_single_token_bytes(i)) == 1 and byte.encoding.decode_single_token_bytes(i)[0] >= 0x80, byte.encoding.n_vocab)
-    assert single <= set(range(byte.encoding.n_vocab))
 
 
 def plain_kept(rows):
