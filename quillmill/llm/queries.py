@@ -77,10 +77,10 @@ WITH c AS (
   UNION ALL SELECT DISTINCT 'trusted', 'allow', 'd:' || domain, s, NULL FROM x WHERE t = 0
 ), k AS (
   SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[-i:], '.') AS k, i AS rank
-  FROM (SELECT page_id, fetched, host, unnest(range(1, least(len(string_split(host, '.')), 6) + 1)) AS i FROM c WHERE host IS NOT NULL)
+  FROM (SELECT page_id, fetched, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c WHERE host IS NOT NULL)
   UNION ALL
-  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(parts[1:i], '/'), i + 100
-  FROM (SELECT page_id, fetched, host, parts, unnest(range(1, least(len(parts), 3) + 1)) AS i FROM c WHERE host IS NOT NULL)
+  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(parts[1:i], '/'), i + 100000
+  FROM (SELECT page_id, fetched, host, parts, unnest(range(1, len(parts) + 1)) AS i FROM c WHERE host IS NOT NULL)
 ), hit AS (
   SELECT page_id, v.l, v.v, v.k, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, v.v, v.l, v.k) AS rn, count(*) OVER (PARTITION BY page_id) AS n
   FROM k JOIN v ON k.k = v.k AND fetched >= to_timestamp(1704067200 + 86400 * d1) AND (d2 IS NULL OR fetched < to_timestamp(1704067200 + 86400 * d2))

@@ -7,10 +7,11 @@ the prefixes of its path), and an as-of join keeps the entries whose interval ho
 The most specific match decides; of equally specific ones an allow list wins over a block list.
 
 The expansion gives a key for every label of the host and every segment of the path, whatever their
-number, and captures that match nothing never leave the first join. Intervals of one key are disjoint for each list, so a capture meets at
-most one per list and key. The join is an equi-join on the key and a salt: a hot host's captures are dealt
-to ``SALTS`` places, its entries are copied to each; AQE may split further, or broadcast the entries by
-their measured size. What a capture matched is combined by one partial aggregate on its own row key.
+number. Intervals of one key are disjoint for each list, so a capture meets at most one per list and key.
+The intervals are counted: up to ``BROADCAST_ROWS`` they are broadcast, and captures that match nothing never
+leave their task. Beyond, captures and intervals meet in an equi-join on key and place: a key with more than
+``HOT_ROWS`` captures has as many places as its measured count asks for, its intervals are copied to each.
+What a capture matched is combined by one partial aggregate on its own row key.
 A capture looks at all intervals of its keys, so the join's work grows with the changes of one entry.
 """
 
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Places that the captures of one key are dealt to.
-SALTS = 16
+from quillmill.llm.common import BROADCAST_ROWS, measured_broadcast, settle
+
+#: Captures of one key beyond which they are dealt to several places.
+HOT_ROWS = 1_000_000
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -69,25 +72,44 @@ def validity_intervals(events: DataFrame) -> DataFrame:
     return last.withColumn("until", nxt).filter(F.col("action") == "add").select("list_name", "verdict", "key", "since", "until")
 
 
-def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def _dealt(keys: DataFrame, active: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """keys and intervals with a place each, so that no key and place has many more than hot_rows keys."""
+    wanted = active.select("entry").distinct()
+    seen = keys.select("key").join(wanted, F.col("key") == F.col("entry"), "left_semi").groupBy("key").count()
+    hot = settle(seen.filter(F.col("count") > hot_rows).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("places")), "hot-keys")
+    hot = measured_broadcast(hot)
+    places = F.coalesce("places", F.lit(1))
+    own = F.pmod(F.xxhash64("id", "url", "fetched"), places).cast("int")
+    left = keys.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", own).drop("hot", "places")
+    right = active.join(hot, F.col("entry") == F.col("hot"), "left").withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("hot", "places")
+    return left, right
+
+
+def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of captures: its id, url, fetch time, decision, matched list and key, n_matches.
 
     decision is 'block', 'allow' or 'pass' (nothing active matched); in a tie of rank and verdict the
     list name and then the key that sort first are named. A null URL, a URL without a host and a null
-    fetch time match nothing. Repeated rows stay (each is decided on its own row); null ids stay.
+    fetch time match nothing. Entries may name hosts of any number of labels and paths of any number of
+    segments, URLs may have any length. Repeated rows stay (each is decided on its own row); null ids stay.
     Other columns are ignored, whatever their names; empty tables give empty results or all 'pass'.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("fetched"))
-    # rows that are equal in id, url and time get equal answers: decide each such row once
-    distinct = rows.filter(F.col("url").isNotNull() & F.col("fetched").isNotNull())
-    split = distinct.select("id", "url", "fetched", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    salt = F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(SALTS)).cast("int")
-    keys = split.select("id", "url", "fetched", salt.alias("salt"), F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("k")).select("id", "url", "fetched", "salt", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
-    active = validity_intervals(events).withColumnRenamed("key", "entry").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = keys.join(active, (F.col("key") == F.col("entry")) & (F.col("salt") == F.col("place")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    dated = rows.filter(F.col("url").isNotNull() & F.col("fetched").isNotNull())
+    split = dated.select("id", "url", "fetched", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")))).alias("k"))
+    keys = split.select("id", "url", "fetched", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
+    active = settle(validity_intervals(events).withColumnRenamed("key", "entry"), "intervals")
+    now = (F.col("key") == F.col("entry")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    if active.count() <= broadcast_rows:
+        hit = keys.join(F.broadcast(active), now)
+    else:
+        left, right = _dealt(keys, active, hot_rows)
+        hit = left.join(right, now & (F.col("salt") == F.col("place")))
     # the smallest of (less specific last, allow before block, names) decides
     order = F.struct((-F.col("rank")).alias("r"), F.col("verdict").alias("v"), F.col("list_name").alias("l"), F.col("key").alias("k"))
-    best = hit.groupBy(F.col("id").alias("i"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.min(order).alias("best"), F.count_distinct("list_name", "verdict", "key").alias("n"))
+    matches = F.count_distinct("list_name", "verdict", "key").alias("n")
+    # rows that are equal in id, url and time get equal answers: each such row is decided once
+    best = hit.groupBy(F.col("id").alias("i"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.min(order).alias("best"), matches)
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("url") == F.col("u")) & (F.col("fetched") == F.col("f"))
     return rows.join(best, same, "left").select(
         F.col("id").alias(id_col),
@@ -113,14 +135,23 @@ def planned_events(pages: DataFrame) -> DataFrame:
     domains are allowed; and the path of a language below some hosts is blocked.
     """
     hosts = pages.select(host_of(F.col("url")).alias("host"), F.substring_index(host_of(F.col("url")), ".", -2).alias("domain")).filter("host IS NOT NULL").distinct()
-    digit = lambda c, a: F.conv(F.substring(F.md5(c), a, 3), 16, 10).cast("long")
-    day = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + n * 86_400)
     h, d = F.col("host"), F.col("domain")
-    first, length = digit(h, 1) % 200, digit(h, 4) % 120 + 1
-    row = lambda name, verdict, key, action, n: F.struct(F.lit(name).alias("list_name"), F.lit(verdict).alias("verdict"), key.alias("key"), F.lit(action).alias("action"), day(n).alias("since"))
-    host_key, path_key = F.concat(F.lit("d:"), h), F.concat(F.lit("p:"), h, F.lit("/en"))
+    first, length = _digits(h, 1) % 200, _digits(h, 4) % 120 + 1
+    host_key, path_key, domain_key = F.concat(F.lit("d:"), h), F.concat(F.lit("p:"), h, F.lit("/en")), F.concat(F.lit("d:"), d)
+    spells = [("add", first), ("remove", first + length), ("add", first + length + 60)]
+    block = F.when(_digits(h, 7) % 3 == 0, F.array(*[_event("adult", "block", host_key, action, day) for action, day in spells]))
+    path = F.when(_digits(h, 10) % 4 == 0, F.array(_event("spam", "block", path_key, "add", first + 30)))
+    allow = F.when(_digits(d, 13) % 2 == 0, F.array(_event("trusted", "allow", domain_key, "add", _digits(d, 1) % 200)))
     nothing = F.array().cast("array<struct<list_name:string,verdict:string,key:string,action:string,since:timestamp>>")
-    block = F.when(digit(h, 7) % 3 == 0, F.array(row("adult", "block", host_key, "add", first), row("adult", "block", host_key, "remove", first + length), row("adult", "block", host_key, "add", first + length + 60))).otherwise(nothing)
-    path = F.when(digit(h, 10) % 4 == 0, F.array(row("spam", "block", path_key, "add", first + 30))).otherwise(nothing)
-    allow = F.when(digit(d, 13) % 2 == 0, F.array(row("trusted", "allow", F.concat(F.lit("d:"), d), "add", digit(d, 1) % 200))).otherwise(nothing)
-    return hosts.select(F.explode(F.concat(block, path, allow)).alias("e")).select("e.*").distinct()
+    listed = F.concat(*[F.coalesce(x, nothing) for x in (block, path, allow)])
+    return hosts.select(F.explode(listed).alias("e")).select("e.*").distinct()
+
+
+def _digits(value: Column, at: int) -> Column:
+    """A number from three hex digits of the value's MD5."""
+    return F.conv(F.substring(F.md5(value), at, 3), 16, 10).cast("long")
+
+
+def _event(name: str, verdict: str, key: Column, action: str, day: Column) -> Column:
+    since = F.timestamp_seconds(F.lit(1_704_067_200) + day * 86_400)
+    return F.struct(F.lit(name).alias("list_name"), F.lit(verdict).alias("verdict"), key.alias("key"), F.lit(action).alias("action"), since.alias("since"))

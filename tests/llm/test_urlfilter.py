@@ -20,7 +20,7 @@ def decide(url, when, events):
     host = parts.hostname.rstrip(".")
     labels = host.split(".")
     path = [p for p in parts.path.split("/") if p]
-    ranks = {"d:" + ".".join(labels[-k:]): k for k in range(1, len(labels) + 1)} | {f"p:{host}/" + "/".join(path[:k]): 100 + k for k in range(1, min(3, len(path)) + 1)}
+    ranks = {"d:" + ".".join(labels[-k:]): k for k in range(1, len(labels) + 1)} | {f"p:{host}/" + "/".join(path[:k]): 100 + k for k in range(1, len(path) + 1)}
     hits = []
     for name, verdict, key in {e[:3] for e in events}:
         past = [e for e in events if e[:3] == (name, verdict, key) and e[4] is not None and e[4] <= when]
@@ -35,7 +35,7 @@ def test_matches_every_entry_against_every_capture(spark):
     hosts = ["a.example.com", "b.a.example.com", "example.com", "example.org", "x.example.org"]
     events = []
     for _ in range(120):
-        key = "d:" + rng.choice([*hosts, "com", "org"]) if rng.random() < 0.6 else f"p:{rng.choice(hosts)}/" + rng.choice(["en", "en/1", "de"])
+        key = "d:" + rng.choice([*hosts, "com", "org"]) if rng.random() < 0.6 else f"p:{rng.choice(hosts)}/" + rng.choice(["en", "en/1", "de", "en/1/2/3"])
         events.append((rng.choice(["l1", "l2"]), rng.choice(["block", "allow"]), key, rng.choice(["add", "remove"]), day(rng.randrange(60))))
     events += [events[0], ("l1", "block", None, "add", day(1)), ("l1", "block", "d:com", "add", None)]
     rows = []
@@ -45,9 +45,10 @@ def test_matches_every_entry_against_every_capture(spark):
         rows.append((i, url, day(rng.randrange(-3, 65)) + timedelta(hours=rng.choice([0, 5]))))
     rows += [(900, None, day(1)), (901, "http://example.com", None), (902, "not a url", day(30)), (903, "http:///path", day(30)), (0, *rows[0][1:]), (None, *rows[1][1:]), (904, "", day(1))]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, fetched timestamp, decision string, key string")
-    got = urlfilter.filter_captures(df, spark.createDataFrame(events, EVENTS)).collect()
     expected = sorted((repr(i), *map(repr, decide(u, w, [e for e in events if e[2] and e[4]]))) for i, u, w in rows)
-    assert sorted((repr(r.page_id), repr(r.decision), repr(r.list_name), repr(r.matched_key), repr(r.n_matches)) for r in got) == expected
+    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_rows": 40}):
+        got = urlfilter.filter_captures(df, spark.createDataFrame(events, EVENTS), **options).collect()
+        assert sorted((repr(r.page_id), repr(r.decision), repr(r.list_name), repr(r.matched_key), repr(r.n_matches)) for r in got) == expected, options
     assert {r.decision for r in got} == {"block", "allow", "pass"}
 
 
@@ -77,3 +78,11 @@ def test_deep_hosts_and_paths_match(spark):
         0: ("block", "d:" + host, 1), 1: ("block", "d:" + host, 1), 2: ("block", "d:" + host, 1), 3: ("allow", deep, 2),
         4: ("allow", "d:" + long, 1), 5: ("block", f"p:{long}/a/b/c/d", 2),
     }
+
+
+def test_very_long_urls(spark):
+    url = "http://example.com/" + "a/" * 3000 + "?" + "q" * 100_000
+    captures = spark.createDataFrame([(1, url, day(2))], "page_id long, url string, fetched timestamp")
+    events = spark.createDataFrame([("l", "block", "p:example.com" + "/a" * 3000, "add", day(1))], EVENTS)
+    got = urlfilter.filter_captures(captures, events).head()
+    assert got.decision == "block" and got.url == url
