@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,7 +45,7 @@ CLASS_RATIO = 1.25
 BLOCK_CHARS = 2_000_000
 _MEMO = 200_000
 
-SCHEMA = "doc_id long, item_id long, item_shingles long, shared_shingles long, containment double"
+FOUND = "item_shingles long, shared_shingles long, containment double"
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = (_rng.integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -101,12 +102,13 @@ def size_class(n: int) -> int:
 class Index:
     """MinHash values of a bounded block of items, by size class and permutation."""
 
-    def __init__(self, items: list[tuple[int, str]], permutations: int, size: int = SHINGLE):
+    def __init__(self, items: list[tuple[object, str, int]], permutations: int, size: int = SHINGLE):
+        """items: id, text and number of equal rows."""
         self.size = size
         hasher = _Hasher()
-        self.items: list[tuple[int, frozenset[bytes]]] = []
+        self.items: list[tuple[object, frozenset[bytes], int]] = []
         by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item_id, text in items:
+        for item_id, text, repeats in items:
             words = words_of(text)
             shingles = frozenset(shingle_strings(words, size))
             if not shingles:
@@ -115,7 +117,7 @@ class Index:
             # the shingle that gives each MinHash value
             source = np.array([hashes[_permuted(hashes, k).argmin()] for k in range(permutations)], np.uint64)
             by_class.setdefault(size_class(len(shingles)), []).append((len(self.items), source))
-            self.items.append((item_id, shingles))
+            self.items.append((item_id, shingles, repeats))
         self.steps, self.tables = [], []
         target, use, owner_of = [], [], []
         for c, members in sorted(by_class.items()):
@@ -166,7 +168,7 @@ class Index:
         return np.unique(np.concatenate(found))
 
 
-def _leaks(index, threshold: float):
+def _leaks(index, threshold: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hasher = index.value, _Hasher()
         for batch in batches:
@@ -177,51 +179,54 @@ def _leaks(index, threshold: float):
                 if len(near):
                     own = set(shingle_strings(words, held.size))
                     for i in near.tolist():
-                        item_id, shingles = held.items[i]
+                        item_id, shingles, repeats = held.items[i]
                         shared = len(shingles & own)
                         if shared >= threshold * len(shingles) - 1e-9:
-                            rows.append((doc_id, item_id, len(shingles), shared, shared / len(shingles)))
+                            rows += [(doc_id, item_id, len(shingles), shared, shared / len(shingles))] * repeats
             columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.float64()]
+            kinds = [batch.column(0).type, item_type, pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "item_shingles", "shared_shingles", "containment"])
 
     return run
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_chars characters, drawn to the driver one block at a time."""
-    kept = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str, int]]]:
+    """The distinct items, with how often each occurs, in blocks of about block_chars characters, drawn to the driver one block at a time."""
+    kept = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").groupBy("item_id", "text").count()
     total = kept.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_chars))
     for p in range(parts):
-        part = kept.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else kept
-        yield [(r.item_id, r.text) for r in part.toLocalIterator()]
+        part = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else kept
+        yield [(r.item_id, r.text, r["count"]) for r in part.toLocalIterator()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per (document row, item row) with a containment of at least ``threshold``.
 
-    Columns: doc_id, item_id, item_shingles, shared_shingles (long), containment (double). Null and
-    word-less texts, on either side, leak nothing; repeated rows of either table give repeated rows;
-    a null id is returned as null. Other columns are ignored, whatever their names. An empty
+    Columns: doc_id, item_id (of their tables' types), item_shingles, shared_shingles (long), containment
+    (double). Null and word-less texts, on either side, leak nothing; repeated rows of either table give
+    repeated rows; a null id is returned as null. Texts of any length are read whole. Other columns are ignored, whatever their names. An empty
     table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [texts.mapInArrow(_leaks(spark.sparkContext.broadcast(Index(block, permutations)), threshold), SCHEMA) for block in item_blocks(items, block_chars=block_chars)]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own, item = texts.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    schema, item_type = f"doc_id {own.simpleString()}, item_id {item.simpleString()}, {FOUND}", to_arrow_type(item)
+    found = [texts.mapInArrow(_leaks(spark.sparkContext.broadcast(Index(block, permutations)), threshold, item_type), schema) for block in item_blocks(items, block_chars=block_chars)]
     return reduce(DataFrame.unionAll, found)
 
 
 def clean_column(items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, block_chars: int = BLOCK_CHARS):
     """A condition that is true for texts that no item leaks into; one pass for each block of items."""
     spark = items.sparkSession
-    tests = [_clean(spark.sparkContext.broadcast(Index(block, permutations)), threshold, F.col(text_col)) for block in item_blocks(items, block_chars=block_chars)]
+    unnamed = items.select(F.lit(None).cast("string").alias("item_id"), F.col(text_col).alias("text")).distinct()
+    tests = [_clean(spark.sparkContext.broadcast(Index(block, permutations)), threshold, F.col(text_col)) for block in item_blocks(unnamed, block_chars=block_chars)]
     return reduce(lambda a, b: a & b, tests)
 
 
 def _clean(index, threshold: float, text: Column) -> Column:
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = _leaks(index, threshold)
+        run = _leaks(index, threshold, pa.null())
         for batch in texts:
             source = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), pa.array(batch, pa.string())], ["doc_id", "text"])
             verdict = np.ones(len(batch), bool)

@@ -75,3 +75,18 @@ def test_clean_column(spark):
     dirty = {r[0] for r in brute(docs, items)}
     kept = {r.doc_id for r in d.filter(decontaminate.clean_column(b, block_chars=9000)).collect()}
     assert kept == {r[0] for r in docs + [(200, None)]} - dirty
+
+
+def test_ids_of_any_type(spark):
+    text = "one two three four five six"
+    d = spark.createDataFrame([("doc-a", text), ("doc-b", "other"), (None, text)], "doc_id string, text string")
+    b = spark.createDataFrame([("item/1", text, "x")], "Item_Id string, text string, n string").withColumnRenamed("Item_Id", "item_id")
+    got = decontaminate.leaks(d, b)
+    assert dict(got.dtypes)["doc_id"] == dict(got.dtypes)["item_id"] == "string"
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=repr) == sorted([("doc-a", "item/1"), (None, "item/1")], key=repr)
+
+
+def test_one_item_many_times_keeps_blocks_small(spark):
+    items = spark.createDataFrame([(i % 5, "one two three four five six " * 20) for i in range(400)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, block_chars=1200))
+    assert sum(n for block in blocks for _, _, n in block) == 400 and max(map(len, blocks)) <= 5
