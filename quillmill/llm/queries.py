@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import decontaminate, edit_counts, fertility, langid, segmentation, shards, simhash, toxicity, urlfilter, warc
-from quillmill.llm.common import table
+from quillmill.llm.common import held_out, table
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,86 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(shard).alias("shard"), F.col(version).alias("version"))
 
 
+# Parts of operators that SQL can express, for operators that it can't express whole.
+
+
+def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's base counts and rule."""
+    judged = op5_fertility(spark, sf_dir)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) AS s FROM w WHERE len(w) > 2
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM s) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's trees, stars and components over given fingerprints: 64 bits of documents' MD5, of which all but some are set alike."""
+    docs = table(spark, sf_dir, "documents")
+    number = lambda at, n: F.conv(F.substring(F.md5("text"), at, n), 16, 10).cast("long")
+    fp = F.shiftleft(number(1, 2), 54).bitwiseOR(F.shiftleft(number(3, 2), 30)).bitwiseOR(number(5, 2))
+    given = docs.select("doc_id", fp.alias("fp"))
+    named = simhash.group_fingerprints(given)
+    return named.select("doc_id", "fp", "component_id")
+
+
+SIMHASH_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, (('0x' || substr(md5(text), 1, 2))::BIGINT << 54) | (('0x' || substr(md5(text), 3, 2))::BIGINT << 30) | ('0x' || substr(md5(text), 5, 2))::BIGINT AS fp FROM documents
+), d AS (SELECT fp, min(doc_id) AS doc_id FROM f GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM d a JOIN d b ON bit_count(xor(a.fp, b.fp)) <= 3),
+reach AS (
+  SELECT fp AS a, doc_id FROM d
+  UNION
+  SELECT links.b, reach.doc_id FROM reach JOIN links ON links.a = reach.a
+)
+SELECT f.doc_id, f.fp, r.component_id FROM f JOIN (SELECT a, min(doc_id) AS component_id FROM reach GROUP BY a) r ON r.a = f.fp
+"""
+
+
+def shard_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10's last version holds."""
+    stored = shards.ingest(table(spark, sf_dir, "documents")).read()
+    return stored.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+SHARD_SQL = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"
+
+
+def held_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents no label may be learned from, as op2 and op6 report it."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"))
+
+
+def _crc32_sql() -> str:
+    """CRC-32 of the id's digits, bit by bit."""
+    step = "list_reduce(list_prepend(xor({x}, ascii(c)), [1, 1, 1, 1, 1, 1, 1, 1]), lambda r, b: xor(r >> 1, (r & 1) * 3988292384))"
+    fold = step.replace("{x}", "r.v").replace("xor(r.v, ascii(c))", "xor(v, ascii(t[i + 1])::BIGINT)")
+    return f"""
+WITH RECURSIVE s AS (SELECT doc_id, doc_id::VARCHAR AS t, 0 AS i, 4294967295::BIGINT AS v FROM documents
+  UNION ALL SELECT doc_id, t, i + 1, {fold} FROM s WHERE i < length(t))
+SELECT doc_id, xor(v, 4294967295) % 5 = 0 AS held_out FROM s WHERE i = length(t)
+"""
+
+
 OP1_SQL = r"""
 WITH c AS (
   SELECT page_id, url, to_timestamp(1704067200 + 60 * (('0x' || substr(md5(page_id::VARCHAR), 1, 6))::BIGINT % 527040)) AS fetched,
@@ -119,6 +199,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_segmentation": op8_segmentation,
         "op9_edit_counts": op9_edit_counts,
         "op10_sharding": op10_sharding,
+        "fertility_base": fertility_base,
+        "simhash_components": simhash_components,
+        "shard_content": shard_content,
+        "held_out_rows": held_out_rows,
     }
 
 
@@ -127,4 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_urlfilter": OP1_SQL,
         "op3_warc": warc.sql(),
         "op4_decontaminate": OP4_SQL,
+        "fertility_base": BASE_SQL,
+        "simhash_components": SIMHASH_SQL,
+        "shard_content": SHARD_SQL,
+        "held_out_rows": _crc32_sql(),
     }

@@ -276,12 +276,18 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, shard_limit: in
     null). Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     base = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-prints")
+    named = group_fingerprints(base, radius, shard_limit)
+    return named.select("doc_id", "fp", hex_column(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def group_fingerprints(base: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """Rows (doc_id, fp bigint) with component_id, as in near_duplicate_groups()."""
     prints = settle(base.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     joined = components(star_links(prints.select("fp"), radius, shard_limit))
     grouped = prints.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = grouped.select("fp", "component").join(first, "component").select("fp", "component_id")
-    return base.join(named, "fp").select("doc_id", "fp", hex_column(F.col("fp")).alias("fingerprint"), "component_id")
+    return base.join(named, "fp")
 
 
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
