@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to shared storage and read it back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_at = path
     return settled
