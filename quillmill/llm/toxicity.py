@@ -266,17 +266,14 @@ def _select(counts: DataFrame, toxic: int, clean: int) -> list[str]:
     return sorted(r.feature for r in counts.filter(telling).select("feature").collect())
 
 
-def _fit(rows: list[tuple[list[int], int, float]], width: int, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adagrad over presence features; rows: features, label, weight."""
-    of = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
-    at = np.array([j for f, _, _ in rows for j in f], np.int64)
-    y = np.array([r[1] for r in rows], float)
-    weight = np.array([r[2] for r in rows])
+def _fit(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Adagrad over presence features: features of all rows one after the other, their number a row, labels, weights."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
     weight = weight / weight.mean()
     w, b = np.zeros(width), math.log((weight @ y + 0.5) / (weight @ (1 - y) + 0.5))
     past_w, past_b = np.full(width, 1e-6), 1e-6
     for _ in range(rounds):
-        z = b + np.bincount(of, weights=w[at], minlength=len(rows)) if len(at) else np.full(len(rows), b)
+        z = b + np.bincount(of, weights=w[at], minlength=len(sizes)) if len(at) else np.full(len(sizes), b)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         gw = (np.bincount(at, weights=error[of], minlength=width) if len(at) else np.zeros(width)) + RIDGE * w
         gb = error.sum()
@@ -314,18 +311,21 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
     shared = spark.sparkContext.broadcast(costs)
     counts = rows.mapInArrow(_document_counts(shared), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     features = _select(counts, size[1], size[0])
-    place = {f: j for j, f in enumerate(features)}
-    finder = spark.sparkContext.broadcast(Scorer(costs, dict.fromkeys(features, 0.0), 0.0))
+    # the finder's weights are the places of the features
+    finder = spark.sparkContext.broadcast(Scorer(costs, {f: float(j) for j, f in enumerate(features)}, 0.0))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(finder.value.features(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["features", "toxic"])
-
-    seen = rows.mapInArrow(shown, "features array<string>, toxic int").collect()
+            own = finder.value
+            found = [np.array(sorted(own.weights[f] for f in own.features(t)), np.int32).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["places", "toxic"])
+
+    # the sample's rows, each as packed numbers of its features, in an order that doesn't depend on tasks
+    seen = rows.mapInArrow(shown, "places binary, toxic int").toArrow().sort_by([("toxic", "ascending"), ("places", "ascending")])
+    places = seen["places"].to_pylist()
+    at, sizes, y = np.frombuffer(b"".join(places), np.int32), np.array([len(p) // 4 for p in places], np.int64), seen["toxic"].to_numpy().astype(float)
     # the sample's classes count as they do among all labels
-    weight = {c: number[c] / size[c] for c in (0, 1)}
-    w, b = _fit([(sorted(place[f] for f in r.features), r.toxic, weight[r.toxic]) for r in sorted(seen, key=lambda r: (r.toxic, r.features))], len(features))
+    w, b = _fit(at, sizes, y, np.where(y == 1, number[1] / size[1], number[0] / size[0]), len(features))
     return Scorer(costs, dict(zip(features, w.tolist())), b)
 
 
