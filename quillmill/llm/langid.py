@@ -232,13 +232,15 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, min_count
     # repeated rows are folded before the shuffle
     sample = drawn.select("lang", "text", F.col("doc_id").cast("string").alias("doc_id")).distinct().select("lang", "text")
     seen = sample.mapInArrow(_count_windows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    got = seen.toPandas()
-    counts = {}
-    for language, own in got.groupby("lang"):
-        keys, n = own["key"].to_numpy(), own["n"].to_numpy()
-        order = np.argsort(keys)
-        counts[language] = (keys[order], n[order])
-    return Model(counts)
+    # languages reach the driver as numbers
+    names = sorted(number)
+    code = F.create_map(*[F.lit(x) for j, name in enumerate(names) for x in (name, j)])
+    got = seen.select(code[F.col("lang")].alias("lang"), "key", "n").toArrow()
+    language, keys, n = (got[c].to_numpy() for c in ("lang", "key", "n"))
+    order = np.lexsort((keys, language))
+    language, keys, n = language[order], keys[order], n[order]
+    cuts = np.searchsorted(language, np.arange(len(names) + 1))
+    return Model({name: (keys[a:b], n[a:b]) for name, a, b in zip(names, cuts.tolist(), cuts[1:].tolist()) if a < b})
 
 
 def predict_column(model: Model, docs: DataFrame, text: Column) -> Column:
