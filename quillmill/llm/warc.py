@@ -40,7 +40,8 @@ _MARKUP = re.compile(
 )
 # Character references that end in a semicolon; what lacks it stays, as in the SQL counterpart.
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-_SPACES, _LINES = re.compile(r"[ \t\r\f]+"), re.compile(r" ?\n[ \n]*")
+# a lone space needs no replacement
+_SPACES, _LINES = re.compile(r"[ \t\r\f]{2,}|[\t\r\f]"), re.compile(r" ?\n[ \n]*")
 
 
 def _replacement(m: re.Match) -> str:
