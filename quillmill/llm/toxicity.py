@@ -14,7 +14,8 @@ and of whole words, so an unseen inflection of a known stem still counts. An n-g
 log-likelihood ratio exceeds the logarithm of the number of labelled documents, the Bayesian information
 criterion for one more parameter, so the bar falls and rises with the labels there are; how many pass is
 bounded by the sample, not by a number. Labels are learned only from rows whose crc32(doc_id) mod 5 is not
-0, 0, in a bounded
+0, from a bounded, repeatable sample of about ``DOCS_PER_CLASS`` labelled documents of each class. A score
+looks up the n-grams of each distinct token of the whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +42,8 @@ RIDGE = 0.1
 _MEMO = 200_000
 #: Longer tokens are decoded, and longer words looked up, like all others, but not remembered.
 _MEMO_LENGTH = 64
+#: Characters of the longest n-gram.
+GRAM = 6
 #: Longer words are no feature as a whole; their n-grams are.
 WHOLE_WORD = 40
 
@@ -64,6 +68,7 @@ _SYMBOL[0xA0:0xC0] = 0
 _EDGES = "\"'([{<>)]}.,;:?!`^~_-*"
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)|(?<!\S)[\w@$!|](?: [\w@$!|]){3,}(?!\S)")
 _RUN = re.compile(r"(.)\1\1")
+_DECORATION = re.compile(r"([^\w\s])\1\1+$")
 
 
 def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +161,25 @@ class Decoder:
             out.append(reading)
         return "".join(reversed(out)).strip()
 
+    def read(self, token: str) -> str:
+        """As token(), without the memo."""
+        if token.isalpha() and not _RUN.search(token):
+            return token
+        core = token.strip(_EDGES)
+        if core.isalpha() and not _RUN.search(core):
+            return core
+        # three or more equal symbols at the end decorate a word
+        core = _DECORATION.sub("", core)
+        slots = self.lattice(core)
+        return self.decode(slots) if slots else core
+
     def token(self, token: str) -> str:
         """A lower-case token without white space, restored; edge punctuation of a noisy token goes."""
         if token.isalpha() and not _RUN.search(token):
             return token
         got = self.memo.get(token)
         if got is None:
-            core = token.strip(_EDGES)
-            got = token
-            if not core.isalpha() or _RUN.search(core):
-                # three or more equal symbols at the end decorate a word
-                core = re.sub(r"([^\w\s])\1\1+$", "", core)
-                slots = self.lattice(core)
-                got = self.decode(slots) if slots else core
-            else:
-                got = core
+            got = self.read(token)
             if len(token) <= _MEMO_LENGTH:
                 if len(self.memo) > _MEMO:
                     self.memo.clear()
@@ -179,16 +188,18 @@ class Decoder:
 
     def words(self, text: str | None) -> list[str]:
         """The words of the restored text."""
-        text = (text or "").lower()
-        text = _SPACED.sub(lambda m: self._joined(m.group()), text)
         out = []
-        for token in text.split():
+        for token in self.tokens(text):
             if token.isalpha() and not _RUN.search(token):
                 out.append(token)
             else:
                 out.extend(self.token(token).split())
         return out
 
+    def tokens(self, text: str | None) -> list[str]:
+        """The lower-case tokens of the text, spaced-out runs joined."""
+        return _SPACED.sub(lambda m: self._joined(m.group()), (text or "").lower()).split()
+
     def _joined(self, run: str) -> str:
         slots = self.lattice(run)
         return self.decode(slots) if slots else run
@@ -200,7 +211,7 @@ class Decoder:
 def word_features(word: str) -> set[str]:
     """n-grams of three to six characters of the whole of ^word$, and, up to ``WHOLE_WORD`` characters, the word itself."""
     marked = f"^{word}$"
-    grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
+    grams = {marked[i : i + n] for n in range(3, GRAM + 1) for i in range(len(marked) - n + 1)}
     return grams | {marked} if len(word) <= WHOLE_WORD else grams
 
 
@@ -212,20 +223,36 @@ class Scorer:
         self._decoder: Decoder | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_decoder": None, "_memo": None}
+        return self.__dict__ | {"_decoder": None, "_memo": None, "_grams": None}
+
+    def _prepare(self) -> None:
+        self._decoder, self._memo = Decoder(self.costs), {}
+        self._grams = ahocorasick.Automaton()
+        for feature in self.weights:
+            if len(feature) <= GRAM:  # a longer one is a whole word
+                self._grams.add_word(feature, feature)
+        self._grams.make_automaton()
+
+    def known(self, word: str) -> set[str]:
+        """The features of word_features(word) that are selected, in one pass over the word."""
+        marked = f"^{word}$"
+        found = {gram for _, gram in self._grams.iter(marked)} if len(self._grams) else set()
+        if len(word) <= WHOLE_WORD and marked in self.weights:
+            found.add(marked)
+        return found
 
     def features(self, text: str | None) -> set[str]:
         if self._decoder is None:
-            self._decoder, self._memo = Decoder(self.costs), {}
+            self._prepare()
         memo, found = self._memo, set()
-        for word in set(self._decoder.words(text)):
-            own = memo.get(word)
+        for token in set(self._decoder.tokens(text)):
+            own = memo.get(token)
             if own is None:
-                own = tuple(f for f in word_features(word) if f in self.weights)
-                if len(word) <= _MEMO_LENGTH:
+                own = tuple({f for word in self._decoder.read(token).split() for f in self.known(word)})
+                if len(token) <= _MEMO_LENGTH:
                     if len(memo) > _MEMO:
                         memo.clear()
-                    memo[word] = own
+                    memo[token] = own
             if own:
                 found.update(own)
         return found

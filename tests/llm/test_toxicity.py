@@ -154,3 +154,17 @@ def test_few_labels_teach_too(spark):
     got = toxicity.score_documents(*frames(spark, rows)).collect()
     truth = {i: x for i, _, x in rows}
     assert sum(r.predicted == truth[r.doc_id] for r in got) >= 57
+
+
+def test_looked_up_features_are_those_of_the_definition():
+    costs = np.ones((toxicity.SYMBOLS,) * 3, np.float32)
+    words = ["idiot", "an", "$", "^", "^^$$", "a^ab$b", "x" * 60, "b" * 41, "b" * 40, "é", "ab$", "idiotic", "日本語", "the"]
+    every = sorted({f for w in words for f in toxicity.word_features(w)})
+    for picked in (every, every[::3], every[1::7], [f for f in every if len(f) > toxicity.GRAM], []):
+        scorer = toxicity.Scorer(costs, dict.fromkeys(picked, 1.0), 0.0)
+        scorer._prepare()
+        for w in words:
+            assert scorer.known(w) == toxicity.word_features(w) & set(picked), (w, len(picked))
+        for text in (None, "", " ".join(words), "The, idiot the! " * 50):
+            restored = toxicity.Decoder(costs).words(text)
+            assert scorer.features(text) == {f for w in restored for f in toxicity.word_features(w)} & set(picked)
