@@ -17,7 +17,7 @@ SUFFIXES = {
 #: The last one is never routed to, only named.
 ENGINES = (*SUFFIXES, "stdlib")
 #: Options that each engine takes.
-OPTIONS = {"mineru": {"tier"}, "docling": set(), "stdlib": set(), "paddleocr": {"device"}, "qwen-asr": {"device", "timestamps"}}
+OPTIONS = {"mineru": {"tier"}, "docling": set(), "stdlib": {"bare_references"}, "paddleocr": {"device"}, "qwen-asr": {"device", "timestamps"}}
 TIERS = ("standard", "advanced")
 
 
